@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mixing, packing, secrets, simhash, sql, tokenfile, topk
+from . import ann, langid, linededup, mixing, packing, secrets, simhash, sql, substrings, tokenfile, topk
 
 
 def _tokenizer() -> str:
@@ -70,6 +70,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~langid.trainable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_one_bit_ann": op7_one_bit_ann,
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

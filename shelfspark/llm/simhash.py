@@ -20,7 +20,7 @@ that of a group with no other. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -111,12 +111,97 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return pairs.unionAll(starred).distinct()
 
 
-def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def _ball_links(fp: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Links of groups (first row, rows). ``own`` rows stand in the bucket itself,
+    others look it up. Small groups give all their links; large ones a forest:
+    a row that was reached isn't linked again."""
+    small = size <= 64
+    out = []
+    if small.any():
+        group = np.repeat(np.flatnonzero(small), size[small])
+        row = np.arange(len(group)) - np.repeat(np.cumsum(size[small]) - size[small], size[small]) + at[group]
+        row, group = row[own[row]], group[own[row]]
+        a = np.repeat(row, size[group])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(size[group]) - size[group], size[group]) + np.repeat(at[group], size[group])
+        near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (fp[a] != fp[b])
+        out.append(np.stack([fp[a[near]], fp[b[near]]]))
+    for g in np.flatnonzero(~small):
+        x, mine = fp[at[g] : at[g] + size[g]], own[at[g] : at[g] + size[g]]
+        left = np.ones(len(x), bool)
+        for start in np.flatnonzero(mine):
+            if not left[start]:
+                continue
+            left[start], stack = False, [start]
+            while stack:
+                i = stack.pop()
+                # a row that only looks the bucket up is compared with its members
+                open_ = np.flatnonzero(left if mine[i] else left & mine)
+                hit = open_[np.bitwise_count(x[open_] ^ x[i]) <= distance]
+                left[hit] = False
+                stack.extend(hit.tolist())
+                out.append(np.stack([np.full(len(hit), x[i]), x[hit]]))
+    return out
+
+
+def block_links(fps: DataFrame, distance: int = 5, segments: int = 3) -> DataFrame:
+    """Links (a, b) of at most ``distance`` bits that join whatever links of that
+    length join, for balls of radius one or less in each segment.
+
+    Two fingerprints that differ in r = m a + b bits differ in at most a bits of
+    one of the first b + 1 of m segments, or in at most a - 1 of another; a is at
+    most one here. Buckets are compared inside a task, which costs two nanoseconds
+    a pair and gives out a forest, not pairs; only fingerprints (eight bytes each)
+    meet, and equal ones are one.
+    """
+    a, b = divmod(distance, segments)
+    if a > 1:
+        raise ValueError("balls of radius one at most: take more segments")
+    x, edge, entries = F.col("fp"), [64 * i // segments for i in range(segments + 1)], []
+    for s, (lo, hi) in enumerate(zip(edge, edge[1:])):
+        radius = a if s <= b else a - 1
+        key = F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        codes = [F.struct(F.lit(s).alias("seg"), key.alias("key"), F.lit(True).alias("own"))] if radius >= 0 else []
+        codes += [F.struct(F.lit(s).alias("seg"), key.bitwiseXOR(F.lit(1 << i).cast("long")).alias("key"), F.lit(False).alias("own")) for i in range(hi - lo) if radius == 1]
+        entries += codes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def links(cols: list[np.ndarray]):
+            seg, key, fp, own = cols
+            new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])]))
+            size = np.diff(np.append(new, len(seg)))
+            use = (size > 1) & (np.add.reduceat(own.astype(np.int64), new) > 0)
+            found = _ball_links(fp, own, new[use], size[use], distance)
+            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0))], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "key", "fp", "own")]
+            if not len(cols[0]):
+                continue
+            if kept is not None:
+                cols = [np.concatenate([k, c]) for k, c in zip(kept, cols)]
+            # the last group may go on in the next batch
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            kept = [c[cut:] for c in cols]
+            if cut:
+                yield links([c[:cut] for c in cols])
+        if kept is not None:
+            yield links(kept)
+
+    rows = fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.key", "fp", "e.own")
+    dealt = rows.repartition("seg", "key").sortWithinPartitions("seg", "key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def components(docs: DataFrame, shingle: int = 3, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """(doc_id, fp, text_hash, component_id): the smallest doc_id reachable over
-    links of at most two bits."""
+    ``links`` (by default of at most two bits)."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(near_links(fps.select("fp")))
+    roots = connected_components(links(fps.select("fp")))
     placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = materialize(placed.join(names, "root").select("fp", "component_id"), "components")
@@ -127,10 +212,10 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = 5, segments: int = 3) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id (a null
     one only where there is no other), and one of equal rows. Columns are kept."""
-    of = components(docs.select("doc_id", "text"), shingle)
+    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, segments))
     group = F.coalesce("component_id", "fp")
     first = of.groupBy(F.col("component_id").isNull().alias("_none"), group.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.last").alias("_null"), F.col("r.text_hash").alias("_hash"))

@@ -74,7 +74,7 @@ def audit_page(log: DataFrame, users: DataFrame, number: int = 1, size: int = AU
         "AUDACAO",
         F.concat("AUDTABELA", F.lit(" #"), F.col("AUDREGISTRO")).alias("registro"),
         F.array_join(change_lines(F.col("AUDACAO"), before, after), "\n").alias("detalhes"),
-    ).orderBy(F.desc("AUDCODIGO"))
+    ).orderBy(F.desc("AUDCODIGO")).limit(size)
 
 
 def audit_lines(log: DataFrame) -> DataFrame:

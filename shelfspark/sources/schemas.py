@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DateType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+
+_TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType()}
 
 _DDL = {
     "LIVROS": "LVRCODIGO long, LVRTITULO string, LVRISBN string, LVREDICAO int, LVRDTPUBLIC date, LVRSINOPSE string, LVRFAIXAETARIA int",
@@ -19,7 +21,7 @@ _DDL = {
     "users": "id long, name string, email string, email_verified_at timestamp, password string, remember_token string, created_at timestamp, updated_at timestamp",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+SCHEMAS: dict[str, StructType] = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split() for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
 
 #: Columns that never leave the system, by table.
 HIDDEN = {"users": ["password", "remember_token"], "USUARIOS": ["USRSENHA"]}

@@ -22,9 +22,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def jdbc_options(database: str, *, table: str, partition: tuple[str, int, int, int] | None = None, **at: str) -> dict[str, str]:
+def jdbc_options(kind: str, *, table: str, partition: tuple[str, int, int, int] | None = None, **at: str) -> dict[str, str]:
     """Options of a JDBC read; ``partition`` (column, lower, upper, parts) makes it parallel."""
-    driver, url = JDBC[database]
+    driver, url = JDBC[kind]
     out = {"driver": driver, "url": url.format(**at), "dbtable": table}
     out |= {k: at[k] for k in ("user", "password") if k in at}
     if partition:
@@ -32,8 +32,8 @@ def jdbc_options(database: str, *, table: str, partition: tuple[str, int, int, i
     return out
 
 
-def jdbc(spark: SparkSession, database: str, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(database, **options)).load()
+def jdbc(spark: SparkSession, kind: str, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_options(kind, **options)).load()
 
 
 def disk_path(disk: str, path: str, *, root: str = "", bucket: str = "") -> str:

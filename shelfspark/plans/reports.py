@@ -64,7 +64,8 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 def audit_page(log: DataFrame, users: DataFrame, number: int = 1, size: int = AUDIT_PAGE) -> DataFrame:
     """A page of the change log, newest first: when, who, what, on which record, and the
     lines of the change. The page is cut before users are joined: at most ``size`` rows."""
-    rows = page(log, [F.desc("AUDCODIGO")], number, size)
+    newest = Window.orderBy(F.desc("AUDCODIGO"))
+    rows = page(log, [F.desc("AUDCODIGO")], number, size).withColumn("__n", F.row_number().over(newest))
     named = rows.join(users.select(F.col("id").alias("__u"), "name"), F.col("AUDUSUARIO") == F.col("__u"), "left")
     before, after = decoded(F.col("AUDANTES")), decoded(F.col("AUDDEPOIS"))
     return named.select(
@@ -74,7 +75,8 @@ def audit_page(log: DataFrame, users: DataFrame, number: int = 1, size: int = AU
         "AUDACAO",
         F.concat("AUDTABELA", F.lit(" #"), F.col("AUDREGISTRO")).alias("registro"),
         F.array_join(change_lines(F.col("AUDACAO"), before, after), "\n").alias("detalhes"),
-    ).orderBy(F.desc("AUDCODIGO")).limit(size)
+        "__n",
+    ).orderBy("__n").drop("__n")
 
 
 def audit_lines(log: DataFrame) -> DataFrame:

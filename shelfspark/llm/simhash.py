@@ -117,16 +117,17 @@ def _ball_links(fp: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarra
     a row that was reached isn't linked again."""
     small = size <= 64
     out = []
+    bits = fp.view(np.uint64)  # the count of a negative number's ones would be that of its absolute value
     if small.any():
         group = np.repeat(np.flatnonzero(small), size[small])
         row = np.arange(len(group)) - np.repeat(np.cumsum(size[small]) - size[small], size[small]) + at[group]
         row, group = row[own[row]], group[own[row]]
         a = np.repeat(row, size[group])
         b = np.arange(len(a)) - np.repeat(np.cumsum(size[group]) - size[group], size[group]) + np.repeat(at[group], size[group])
-        near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (fp[a] != fp[b])
+        near = (np.bitwise_count(bits[a] ^ bits[b]) <= distance) & (fp[a] != fp[b])
         out.append(np.stack([fp[a[near]], fp[b[near]]]))
     for g in np.flatnonzero(~small):
-        x, mine = fp[at[g] : at[g] + size[g]], own[at[g] : at[g] + size[g]]
+        x, y, mine = (v[at[g] : at[g] + size[g]] for v in (fp, bits, own))
         left = np.ones(len(x), bool)
         for start in np.flatnonzero(mine):
             if not left[start]:
@@ -136,7 +137,7 @@ def _ball_links(fp: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarra
                 i = stack.pop()
                 # a row that only looks the bucket up is compared with its members
                 open_ = np.flatnonzero(left if mine[i] else left & mine)
-                hit = open_[np.bitwise_count(x[open_] ^ x[i]) <= distance]
+                hit = open_[np.bitwise_count(y[open_] ^ y[i]) <= distance]
                 left[hit] = False
                 stack.extend(hit.tolist())
                 out.append(np.stack([np.full(len(hit), x[i]), x[hit]]))

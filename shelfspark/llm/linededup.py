@@ -16,7 +16,7 @@ alike; an empty table gives an empty table; extra columns stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,19 +31,15 @@ LG_K = 12
 BAND = 0.08
 
 
-def _key(line: Column) -> Column:
-    trimmed = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(trimmed != "", F.struct(F.xxhash64(trimmed).alias("h1"), F.xxhash64(trimmed, F.lit(1)).alias("h2")))
+def lines_of(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """(doc, row_hash, site, pos, h1, h2): the key of every line that is not blank."""
+    trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    at = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("row_hash"), F.col(site).alias("site"), F.posexplode(trimmed).alias("pos", "line"))
+    return at.filter("line != ''").select("doc", "row_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def _lines(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
-    at = docs.select(*columns, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return at.withColumn("k", _key(F.col("line"))).drop("line").filter("k is not null").select("*", "k.h1", "k.h2").drop("k")
-
-
-def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2, first): keys on at least ``min_sites`` sites and where each stands first."""
-    lines = _lines(docs, text, F.col(doc_id).alias("doc"), F.col(site).alias("site"))
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc", "pos")).alias("first"))
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
     keys = materialize(sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= low), "spread-lines")
@@ -57,9 +53,10 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_
 
 def remove_spread_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with the new text, and columns n_lines and n_removed at the end."""
-    spread = materialize(spread_lines(docs, text, site, doc_id, min_sites), "boilerplate")
-    identity = [F.col(doc_id).alias("doc"), F.xxhash64(text).alias("row_hash")]
-    hits = _lines(docs, text, *identity).join(spread, ["h1", "h2"]).filter(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.pos") == F.col("pos"))))
+    # keys and places without the lines themselves, written once and read by each step
+    lines_table = materialize(lines_of(docs, text, site, doc_id), "lines")
+    spread = materialize(spread_lines(lines_table, min_sites), "boilerplate")
+    hits = lines_table.join(spread, ["h1", "h2"]).filter(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.pos") == F.col("pos"))))
     cut = hits.groupBy("doc", "row_hash").agg(F.collect_set("pos").alias("__cut"))
     cut = cut.select(F.coalesce("doc", F.lit(0)).alias("__id"), F.col("doc").isNull().alias("__null"), F.col("row_hash").alias("__hash"), "__cut")
     keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id), F.lit(0)), "__null": F.col(doc_id).isNull(), "__hash": F.xxhash64(text)})

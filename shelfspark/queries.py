@@ -355,6 +355,73 @@ def date_functions(spark, sf):
     )
 
 
+@query("prj1_star_and_more", f"""SELECT e.*, p_name AS "LVRTITULO", c_name AS "CLINOME" FROM {_LOANS} e JOIN part ON "EMPLIVRO" = p_partkey JOIN customer ON "EMPCLIENTE" = c_custkey""")
+def star_and_more(spark, sf):
+    e, l, c = analog.loans(spark, sf), analog.books(spark, sf), analog.clients(spark, sf)
+    return e.join(l, e["EMPLIVRO"] == l["LVRCODIGO"]).join(c, e["EMPCLIENTE"] == c["CLICODIGO"]).select(*(e[x] for x in e.columns), "LVRTITULO", "CLINOME")
+
+
+@query("prj3_allowed_columns", "SELECT c_custkey, c_name FROM customer")
+def allowed_columns(spark, sf):
+    allowed = ["c_custkey", "c_name", "c_password"]
+    customer = read(spark, sf, "customer")
+    return customer.select(*(c for c in allowed if c in customer.columns))
+
+
+@query("prj7_casts", "SELECT event_id, ts::DATE::VARCHAR AS dia, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(value AS BIGINT) IS NOT NULL AS tem FROM events")
+def casts(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.to_date("ts").cast("string").alias("dia"), changes.decoded(F.col("props"))["k"].cast("int").alias("k"), F.col("value").cast("long").isNotNull().alias("tem"))
+
+
+@query("flt5_not_flagged", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_returnflag = 'N')")
+def not_flagged(spark, sf):
+    return read(spark, sf, "lineitem").withColumn("enviado", F.col("l_returnflag") == "N").filter(~F.col("enviado")).select("l_orderkey", "l_linenumber")
+
+
+@query("flt11_confirmed", "SELECT l_orderkey, l_linenumber, l_discount IS NOT DISTINCT FROM l_tax AS confirmado FROM lineitem")
+def confirmed(spark, sf):
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").eqNullSafe(F.col("l_tax")).alias("confirmado"))
+
+
+@query("agg4_attempt_counter", "SELECT user_id AS chave, count(*) AS tentativas FROM events WHERE event_type = 'error' GROUP BY user_id")
+def attempt_counter(spark, sf):
+    return read(spark, sf, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("chave")).agg(F.count(F.lit(1)).alias("tentativas"))
+
+
+@query("srt3_latest_changes", """SELECT event_id AS "AUDCODIGO" FROM events ORDER BY event_id DESC LIMIT 20""")
+def latest_changes(spark, sf):
+    return reports.page(analog.audit_log(spark, sf).select("AUDCODIGO"), [F.desc("AUDCODIGO")], 1, reports.AUDIT_PAGE)
+
+
+@query("set2_key_difference", f"SELECT event_id, CASE {_ACTION} WHEN 'excluiu' THEN '' WHEN 'criou' THEN 'u,k' ELSE 'u' END AS novas FROM events")
+def key_difference(spark, sf):
+    before, after = changes.decoded(F.col("AUDANTES")), changes.decoded(F.col("AUDDEPOIS"))
+    return analog.audit_log(spark, sf).select(F.col("AUDCODIGO").alias("event_id"), F.array_join(F.array_except(F.map_keys(after), F.map_keys(before)), ",").alias("novas"))
+
+
+@query("fn14_fallbacks", f"SELECT event_id, coalesce(CASE WHEN {_ACTION} <> 'criou' THEN json_extract_string(props, '$.k') END, '—') AS antes FROM events")
+def fallbacks(spark, sf):
+    return analog.audit_log(spark, sf).select(F.col("AUDCODIGO").alias("event_id"), F.coalesce(changes.decoded(F.col("AUDANTES"))["k"], F.lit(changes.NONE)).alias("antes"))
+
+
+@query("fn15_conditional", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'criou' WHEN 'error' THEN 'excluiu' ELSE 'editou' END AS acao, CASE WHEN value > 10 THEN 'alto' ELSE 'baixo' END AS nivel FROM events")
+def conditional(spark, sf):
+    log, events = analog.audit_log(spark, sf), read(spark, sf, "events")
+    level = F.when(F.col("value") > 10, "alto").otherwise("baixo")
+    return log.select(F.col("AUDCODIGO").alias("event_id"), F.col("AUDACAO").alias("acao")).join(events.select("event_id", level.alias("nivel")), "event_id")
+
+
+@query("fn17_json_round_trip", "SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS json FROM events")
+def json_round_trip(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.to_json(changes.decoded(F.col("props"))).alias("json"))
+
+
+@query("udf1_gate", "SELECT s_suppkey, s_name IN ('Supplier#000000001', 'Supplier#000000002') AS pode_ver FROM supplier")
+def gate(spark, sf):
+    admins = tables.parse_list("Supplier#000000001, Supplier#000000002,,")
+    return read(spark, sf, "supplier").select("s_suppkey", rows.member(F.col("s_name"), admins).alias("pode_ver"))
+
+
 # State, in its batch form
 
 

@@ -67,7 +67,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = langid.predict(docs, langid.fit(docs), keep=["doc_id"])
-    return out.select("doc_id", (~langid.trainable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

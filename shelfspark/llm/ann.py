@@ -59,8 +59,8 @@ class Codes:
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed in the order of the components."""
     out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * x[:, j]
+    for a, b in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)):
+        out += a * b
     return out
 
 
@@ -76,8 +76,8 @@ def find(codes: Codes, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: i
         estimate = (part @ codes.centre)[:, None] + guess * (codes.length / codes.fit)[None, :]
         slack = norm[:, None] * (codes.length * spread)[None, :] + 1e-5 * norm[:, None] * codes.length[None, :]
         estimate[q_ids[rows][:, None] == codes.ids[None, :]] = -np.inf
-        # the k that look best are scored first; their kth score is the bar for the rest
-        m = min(k, n)
+        # those that look best are scored first; their kth score is the bar for the rest
+        m = min(4 * k, n)
         top = np.argpartition(-estimate, m - 1, axis=1)[:, :m]
         done = np.zeros(estimate.shape, bool)
         np.put_along_axis(done, top, True, 1)
@@ -88,10 +88,20 @@ def find(codes: Codes, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: i
 
 
 def _rerank(codes: Codes, best: Best, rows: np.ndarray, q: np.ndarray, wanted: np.ndarray, least: np.ndarray) -> None:
-    i, j = np.nonzero(wanted)
-    for a in range(0, len(i), 200_000):
-        scores = exact(q[i[a : a + 200_000]], codes.vectors[j[a : a + 200_000]])
-        _offer(best, rows, i[a : a + 200_000], codes.ids[j[a : a + 200_000]], scores, least)
+    """Score the chosen vectors; those that may reach the bar are summed in order."""
+    bar = np.maximum(best.kth(), least)[rows]
+    who, which = [], []
+    for i in np.flatnonzero(wanted.any(axis=1)):
+        j = np.flatnonzero(wanted[i])
+        s = codes.vectors[j] @ q[i]
+        j = j[s >= bar[i] - 1e-9 * (1 + np.abs(s))]
+        who.append(np.full(len(j), i))
+        which.append(j)
+    if who:
+        i, j = np.concatenate(who), np.concatenate(which)
+        for a in range(0, len(i), 50_000):
+            part = slice(a, a + 50_000)
+            _offer(best, rows, i[part], codes.ids[j[part]], exact(q[i[part]], codes.vectors[j[part]]), least)
 
 
 def _offer(best: Best, rows: np.ndarray, i: np.ndarray, ids: np.ndarray, scores: np.ndarray, least: np.ndarray) -> None:

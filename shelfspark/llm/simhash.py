@@ -38,36 +38,45 @@ SEED = 42
 HOT_BUCKET = 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash of a text's word shingles as a signed 64-bit number."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones, chunk = np.zeros(64, np.int64), 1 << 15
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
+    """SimHash of a text's word shingles as signed 64-bit numbers: one, of XXH64,
+    or two, of XXH128."""
+    from xxhash import xxh64_intdigest, xxh128_digest
+
+    tokens = text.encode().lower().split() if text else []
+    if not tokens:
+        return [0] * words
+    n = max(1, len(tokens) - shingle + 1)
+    ones, chunk = np.zeros(64 * words, np.int64), 1 << 15
     for a in range(0, n, chunk):
-        part = words[a : a + chunk + shingle - 1]
-        if len(words) < shingle:
-            shingles = [b" ".join(words)]
+        part = tokens[a : a + chunk + shingle - 1]
+        if len(tokens) < shingle:
+            shingles = [b" ".join(tokens)]
         else:
             shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
-        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        if words == 1:
+            h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64).astype("<u8").view(np.uint8)
+        else:
+            h = np.frombuffer(b"".join(map(xxh128_digest, shingles, repeat(SEED))), np.uint8)
+        ones += np.unpackbits(h.reshape(-1, 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<i8").tolist()
+
 
+#: Columns of a fingerprint, by its number of 64-bit words.
+WORDS = {1: ["fp"], 2: ["fp", "fp2"]}
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, text_hash) for each row, over its whole text."""
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp, ..., text_hash) for each row, over its whole text."""
+    names = ["doc_id", *WORDS[words], "text_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t.as_py(), shingle) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), b.column("text_hash")], ["doc_id", "fp", "text_hash"])
+            fp = np.array([fingerprint(t.as_py(), shingle, words) for t in b.column("text")], np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in fp.T), b.column("text_hash")], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _first(fp: Column) -> Column:
@@ -112,23 +121,25 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 
 def _ball_links(fp: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarray, distance: int) -> list[np.ndarray]:
-    """Links of groups (first row, rows). ``own`` rows stand in the bucket itself,
-    others look it up. Small groups give all their links; large ones a forest:
-    a row that was reached isn't linked again."""
+    """Links (numbers of rows) of groups (first row, rows); ``fp`` has a row's words
+    side by side. ``own`` rows stand in the bucket itself, others look it up. Small
+    groups give all their links; large ones a forest: a row that was reached isn't
+    linked again."""
     small = size <= 64
     out = []
     bits = fp.view(np.uint64)  # the count of a negative number's ones would be that of its absolute value
+    gap = lambda a, b: np.bitwise_count(bits[a] ^ bits[b]).sum(axis=-1, dtype=np.int64)
     if small.any():
         group = np.repeat(np.flatnonzero(small), size[small])
         row = np.arange(len(group)) - np.repeat(np.cumsum(size[small]) - size[small], size[small]) + at[group]
         row, group = row[own[row]], group[own[row]]
         a = np.repeat(row, size[group])
         b = np.arange(len(a)) - np.repeat(np.cumsum(size[group]) - size[group], size[group]) + np.repeat(at[group], size[group])
-        near = (np.bitwise_count(bits[a] ^ bits[b]) <= distance) & (fp[a] != fp[b])
-        out.append(np.stack([fp[a[near]], fp[b[near]]]))
+        near = (gap(a, b) <= distance) & (a != b)
+        out.append(np.stack([a[near], b[near]]))
     for g in np.flatnonzero(~small):
-        x, y, mine = (v[at[g] : at[g] + size[g]] for v in (fp, bits, own))
-        left = np.ones(len(x), bool)
+        mine = own[at[g] : at[g] + size[g]]
+        left = np.ones(len(mine), bool)
         for start in np.flatnonzero(mine):
             if not left[start]:
                 continue
@@ -137,48 +148,56 @@ def _ball_links(fp: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarra
                 i = stack.pop()
                 # a row that only looks the bucket up is compared with its members
                 open_ = np.flatnonzero(left if mine[i] else left & mine)
-                hit = open_[np.bitwise_count(y[open_] ^ y[i]) <= distance]
+                hit = open_[gap(at[g] + open_, at[g] + i) <= distance]
                 left[hit] = False
                 stack.extend(hit.tolist())
-                out.append(np.stack([np.full(len(hit), x[i]), x[hit]]))
+                out.append(np.stack([np.full(len(hit), at[g] + i), at[g] + hit]))
     return out
 
 
-def block_links(fps: DataFrame, distance: int = 5, segments: int = 3) -> DataFrame:
-    """Links (a, b) of at most ``distance`` bits that join whatever links of that
-    length join, for balls of radius one or less in each segment.
+def node(words: int) -> Column:
+    """What names a fingerprint: itself, or a 64-bit hash of a longer one."""
+    return F.col("fp") if words == 1 else F.xxhash64(*WORDS[words])
+
+
+def block_links(fps: DataFrame, distance: int, words: int = 1, segments: int = 3) -> DataFrame:
+    """Links (a, b), by ``node``, of at most ``distance`` bits, found through balls of
+    radius one or less in each of ``segments`` segments of each word.
 
     Two fingerprints that differ in r = m a + b bits differ in at most a bits of
-    one of the first b + 1 of m segments, or in at most a - 1 of another; a is at
-    most one here. Buckets are compared inside a task, which costs two nanoseconds
-    a pair and gives out a forest, not pairs; only fingerprints (eight bytes each)
-    meet, and equal ones are one.
+    one of the first b + 1 of m segments, or in at most a - 1 of another. So with m
+    segments in all, links of up to 2 m - 1 bits are all found; of longer ones
+    those that differ in one bit or none in some segment. Every link has its whole
+    distance verified. Buckets are compared inside a task, at a few nanoseconds a
+    pair, and a large one gives out a forest that joins what its links would join.
     """
-    a, b = divmod(distance, segments)
-    if a > 1:
-        raise ValueError("balls of radius one at most: take more segments")
-    x, edge, entries = F.col("fp"), [64 * i // segments for i in range(segments + 1)], []
-    for s, (lo, hi) in enumerate(zip(edge, edge[1:])):
-        radius = a if s <= b else a - 1
-        key = F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
-        codes = [F.struct(F.lit(s).alias("seg"), key.alias("key"), F.lit(True).alias("own"))] if radius >= 0 else []
-        codes += [F.struct(F.lit(s).alias("seg"), key.bitwiseXOR(F.lit(1 << i).cast("long")).alias("key"), F.lit(False).alias("own")) for i in range(hi - lo) if radius == 1]
-        entries += codes
+    columns, m = WORDS[words], words * segments
+    a, b = divmod(distance, m)
+    edge, entries = [64 * i // segments for i in range(segments + 1)], []
+    for s in range(m):
+        lo, hi = edge[s % segments], edge[s % segments + 1]
+        radius = 1 if a > 1 else a if s <= b else a - 1
+        key = F.shiftrightunsigned(F.col(columns[s // segments]), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        if radius >= 0:
+            entries.append(F.struct(F.lit(s).alias("seg"), key.alias("key"), F.lit(True).alias("own")))
+        if radius == 1:
+            entries += [F.struct(F.lit(s).alias("seg"), key.bitwiseXOR(F.lit(1 << i).cast("long")).alias("key"), F.lit(False).alias("own")) for i in range(hi - lo)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
         def links(cols: list[np.ndarray]):
-            seg, key, fp, own = cols
+            seg, key, own = cols[:3]
+            fp = np.stack(cols[3:], axis=1)
             new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (key[1:] != key[:-1])]))
             size = np.diff(np.append(new, len(seg)))
             use = (size > 1) & (np.add.reduceat(own.astype(np.int64), new) > 0)
             found = _ball_links(fp, own, new[use], size[use], distance)
-            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both.max(axis=0)), pa.array(both.min(axis=0))], ["a", "b"])
+            one, two = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(fp[x, k]) for x in (one, two) for k in range(words)], [f"{x}{k}" for x in "ab" for k in range(words)])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "key", "fp", "own")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("seg", "key", "own", *columns)]
             if not len(cols[0]):
                 continue
             if kept is not None:
@@ -192,33 +211,45 @@ def block_links(fps: DataFrame, distance: int = 5, segments: int = 3) -> DataFra
         if kept is not None:
             yield links(kept)
 
-    rows = fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.key", "fp", "e.own")
+    rows = fps.select(*columns, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.key", "e.own", *columns)
     dealt = rows.repartition("seg", "key").sortWithinPartitions("seg", "key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, ", ".join(f"{x}{k} long" for x in "ab" for k in range(words)))
+    named = lambda x: F.col(f"{x}0") if words == 1 else F.xxhash64(*(f"{x}{k}" for k in range(words)))
+    both = found.select(named("a").alias("x"), named("b").alias("y"))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a != b").distinct()
 
 
-def components(docs: DataFrame, shingle: int = 3, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
-    """(doc_id, fp, text_hash, component_id): the smallest doc_id reachable over
+def components(docs: DataFrame, shingle: int = 3, links: Callable[[DataFrame], DataFrame] = near_links, words: int = 1) -> DataFrame:
+    """(doc_id, fp, ..., text_hash, component_id): the smallest doc_id reachable over
     ``links`` (by default of at most two bits)."""
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(fps.select("fp")))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = materialize(fingerprints(docs, shingle, words), "fingerprints")
+    named = rows.withColumn("node", node(words))
+    distinct = named.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in WORDS[words]))
+    fps = materialize(distinct, "distinct-fingerprints")
+    roots = connected_components(links(fps.select(*WORDS[words])))
+    placed = fps.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = materialize(placed.join(names, "root").select("fp", "component_id"), "components")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    of_node = materialize(placed.join(names, "root").select("node", "root", "component_id"), "components")
+    return named.join(of_node, "node").select("doc_id", *WORDS[words], "text_hash", "component_id", "root")
 
 
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = 5, segments: int = 3) -> DataFrame:
+#: Bits of 128 in which fingerprints of texts differ on average whose sets of
+#: shingles have a Jaccard similarity of 0.8: the cosine of their counts is 8/9.
+NEAR_BITS = 19
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id (a null
-    one only where there is no other), and one of equal rows. Columns are kept."""
-    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, segments))
-    group = F.coalesce("component_id", "fp")
-    first = of.groupBy(F.col("component_id").isNull().alias("_none"), group.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
+    one only where there is no other), and one of equal rows. Columns are kept.
+
+    Fingerprints have 128 bits here, in six segments: links of up to eleven bits
+    are all found, longer ones mostly."""
+    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, words=2), words=2)
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.last").alias("_null"), F.col("r.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
     return keyed.join(keep, ["_id", "_null", "_hash"], "left_semi").dropDuplicates(["_id", "_null", "_hash"]).select(*docs.columns)

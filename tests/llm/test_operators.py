@@ -147,7 +147,7 @@ def test_simhash_components(docs, nothing):
     assert simhash.components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("links,distance", [(lambda f: simhash.near_links(f, hot_bucket=3), 2), (simhash.near_links, 2), (lambda f: simhash.block_links(f, 5, 3), 5), (lambda f: simhash.block_links(f, 3, 3), 3)])
+@pytest.mark.parametrize("links,distance", [(lambda f: simhash.near_links(f, hot_bucket=3), 2), (simhash.near_links, 2), (lambda f: simhash.block_links(f, 5), 5), (lambda f: simhash.block_links(f, 3), 3)])
 def test_links_of_dense_and_sparse_fingerprints(spark, links, distance):
     rng = random.Random(distance)
     values = {rng.getrandbits(64) for _ in range(60)}
@@ -168,6 +168,26 @@ def test_links_of_dense_and_sparse_fingerprints(spark, links, distance):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_large_buckets_give_a_forest():
+    rng = random.Random(21)
+    centre, values = rng.getrandbits(63), set()
+    while len(values) < 400:  # one bucket: the low 21 bits are the centre's, or one bit off
+        x = centre
+        for _ in range(rng.randint(0, 9)):
+            x ^= 1 << rng.randrange(21, 63)
+        values.add(x ^ (1 << rng.randrange(21) if rng.random() < 0.4 else 0))
+    fp = np.array(sorted(values), np.int64)
+    own = (fp & (2**21 - 1)) == (centre & (2**21 - 1))
+    found = fp[np.concatenate(simhash._ball_links(fp[:, None], own, np.array([0]), np.array([len(fp)]), 5), axis=1)]
+    assert found.shape[1] < len(fp)
+    linked = {frozenset(p) for p in found.T.tolist()}
+    # the same components as all links with a member of the bucket at one end
+    allowed = {frozenset((a, b)) for a in fp[own].tolist() for b in fp.tolist() if a != b and (a ^ b).bit_count() <= 5}
+    assert linked <= allowed
+    nodes = [(x, x) for x in fp.tolist()]
+    assert brute_components(nodes, lambda a, b: frozenset((a, b)) in linked) == brute_components(nodes, lambda a, b: frozenset((a, b)) in allowed)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -175,15 +195,44 @@ def test_components_of_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_wide_fingerprint(text, k):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [int.from_bytes(xxhash.xxh128_digest(x.encode(), 42), "little") for x in s]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def in_reach(a, b, distance):
+    """Within the distance, and one bit or none apart in one of the six segments."""
+    x = a ^ b
+    parts = [x >> 64 * w + 64 * i // 3 & (1 << 64 * (i + 1) // 3 - 64 * i // 3) - 1 for w in range(2) for i in range(3)]
+    return x.bit_count() <= distance and min(p.bit_count() for p in parts) <= 1
+
+
 def test_one_of_each_group_stays(docs, nothing):
-    fp = {k: brute_fingerprint(t, 5) for k, t in by_id(docs).items()}
-    groups = brute_components(list(fp.items()), lambda a, b: (a ^ b).bit_count() <= 5)
+    fp = {k: brute_wide_fingerprint(t, 5) for k, t in by_id(docs).items()}
+    groups = brute_components(list(fp.items()), lambda a, b: in_reach(a, b, simhash.NEAR_BITS))
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(set(groups.values()))
     assert simhash.deduplicate(nothing).count() == 0
 
 
+def test_edited_copies_go_and_others_stay(spark):
+    rng, words = random.Random(31), vocabulary(3000, 5)
+    rows, originals = [], 60
+    for i in range(originals):
+        text = [rng.choice(words) for _ in range(rng.randint(200, 400))]
+        rows.append((i, " ".join(text)))
+        for edits in (1, 2, 4):  # five-word similarities from about 0.99 to 0.87
+            copy = list(text)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "edited"
+            rows.append((1000 * edits + i, " ".join(copy)))
+    left = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left >= set(range(originals)) and len(left) <= originals * 1.1
+
+
 def test_null_ids_keep_their_text(spark):
     rows = [(None, "a b c d e f g"), (None, "quite another text that has nothing to do with it"), (4, "a b c d e f g"), (4, "a b c d e f g")]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()

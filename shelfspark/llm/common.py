@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,8 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Scratch tables of this process, which are deleted when it ends.
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _forget() -> None:
+    for spark, path in _SCRATCH:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +56,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once no plan reads it any more."""
+    drop_path(df.sparkSession, df._scratch)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

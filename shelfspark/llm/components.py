@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize
+from .common import discard, materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,16 +36,13 @@ def _state(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is its component's
     smallest node. Nodes without a link do not appear."""
-    spark = links.sparkSession
     now = links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now, was, path = materialize(now, "links"), None, None
+    now, was = materialize(now, "links"), None
     state = _state(now)
     while state != was and state[0]:
         was = state
-        after = materialize(_star(_star(now, large=True), large=False), "links")
-        if path:
-            drop_path(spark, path)
-        now, path = after, after.inputFiles()[0].rpartition("/")[0] if after.inputFiles() else None
+        before, now = now, materialize(_star(_star(now, large=True), large=False), "links")
+        discard(before)
         state = _state(now)
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, materialize
+from .common import MAX_BROADCAST_ROWS, discard, materialize
 from .fmindex import FMIndex
 from .tokenize import in_chunks
 
@@ -280,10 +280,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_pieces: int = HO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     every = materialize(runs(docs, window), "runs")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("anchor")
-    held = materialize(every.join(shared, "anchor", "left_semi"), "shared-runs")
+    # written first: a join in the stage of that aggregate could not split a hot anchor
+    held = materialize(every.join(materialize(shared, "shared-anchors"), "anchor", "left_semi"), "shared-runs")
+    discard(every)
     pieces = held.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.min_by("start", "doc_id").alias("start"), F.first("windows").alias("windows"))
     pieces = materialize(pieces, "pieces")
-    many = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).select("anchor", (F.col("c") > hot_pieces).alias("hot"))
+    many = materialize(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).select("anchor", (F.col("c") > hot_pieces).alias("hot")), "anchor-pieces")
     taken = materialize(extract(docs, pieces.join(many, "anchor"), window, small=False), "piece-words")
 
     # windows of hot pieces: those in two documents or more are pieces of one window

@@ -237,18 +237,20 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Bits of 128 in which fingerprints of texts differ on average whose sets of
-#: shingles have a Jaccard similarity of 0.8: the cosine of their counts is 8/9.
-NEAR_BITS = 19
+#: Most differing bits of 128. Texts whose sets of shingles have a Jaccard similarity
+#: of 0.8 (their counts a cosine of 8/9) differ in 19.5 on average, give or take four.
+NEAR_BITS = 21
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS, segments: int = 4) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id (a null
     one only where there is no other), and one of equal rows. Columns are kept.
 
-    Fingerprints have 128 bits here, in six segments: links of up to eleven bits
-    are all found, longer ones mostly."""
-    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, words=2), words=2)
+    Fingerprints have 128 bits here, in two times ``segments`` segments: links of up
+    to fifteen bits are all found, longer ones mostly. Buckets have 16 bits, so
+    comparing them costs rows squared / 65536 x 136 pairs: for some hundred million
+    rows and more, take fewer and longer segments."""
+    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, 2, segments), words=2)
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.last").alias("_null"), F.col("r.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})

@@ -203,9 +203,9 @@ def brute_wide_fingerprint(text, k):
 
 
 def in_reach(a, b, distance):
-    """Within the distance, and one bit or none apart in one of the six segments."""
+    """Within the distance, and one bit or none apart in one of the eight segments."""
     x = a ^ b
-    parts = [x >> 64 * w + 64 * i // 3 & (1 << 64 * (i + 1) // 3 - 64 * i // 3) - 1 for w in range(2) for i in range(3)]
+    parts = [x >> 16 * i & 0xFFFF for i in range(8)]
     return x.bit_count() <= distance and min(p.bit_count() for p in parts) <= 1
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import in_chunks
+from .tokenize import in_chunks, release
 
 UNKNOWN = "und"
 
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in in_chunks(batch):
+            for part in in_chunks(batch, size=4_000_000):
                 texts = part.column("text")
                 known = np.array([has_letter(t.as_py()) for t in texts], bool)
                 label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -219,6 +219,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                     score = np.where(known, p.max(axis=1), 0.0)
                 rejected = ~known | (score < (m.threshold if m else 0))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in given), pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], names)
+        release()
 
     schema = docs.select(*given).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return docs.select(*dict.fromkeys([*given, "text"])).mapInArrow(run, schema)

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, materialize
-from .tokenize import encoder, in_chunks
+from .tokenize import encoder, in_chunks, release
 
 WINDOW = 2048
 
+#: Chunks that the encoder keeps here: half the usual, beside a large heap.
+CACHE_CHUNKS = 500_000
+
 TOKENS = "pid int, seq long, doc_id long, local_start long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,9 +40,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         pid, seq, at = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id, CACHE_CHUNKS)
         for batch in batches:
-            for part in in_chunks(batch):
+            for part in in_chunks(batch, size=4_000_000):
                 ids = enc.encode(part.column("text"))
                 n = np.array([len(x) for x in ids], np.int64)
                 k = len(ids)
@@ -49,6 +52,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     ["pid", "seq", "doc_id", "local_start", "n", "ids"],
                 )
                 seq, at = seq + k, at + int(n.sum())
+        release(encoders=False)
 
     return materialize(docs.select("doc_id", "text").mapInArrow(encode, TOKENS), "tokens")
 

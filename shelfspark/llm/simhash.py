@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
+from .tokenize import release
 
 #: Fixed value: the seed of the shingles' XXH64.
 SEED = 42
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle, words) for t in b.column("text")], np.int64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in fp.T), b.column("text_hash")], names)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -210,6 +212,7 @@ def block_links(fps: DataFrame, distance: int, words: int = 1, segments: int = 3
                 yield links([c[:cut] for c in cols])
         if kept is not None:
             yield links(kept)
+        release()
 
     rows = fps.select(*columns, F.explode(F.array(*entries)).alias("e")).select("e.seg", "e.key", "e.own", *columns)
     dealt = rows.repartition("seg", "key").sortWithinPartitions("seg", "key")

@@ -148,15 +148,30 @@ class CachedEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, end_id: int | None) -> CachedEncoder:
-    """One encoder per Python worker and vocabulary."""
-    key = (path, end_id)
+def encoder(path: str, end_id: int | None, cache_chunks: int = CACHE_CHUNKS) -> CachedEncoder:
+    """One encoder per Python worker and vocabulary; it stays for the worker's next task."""
+    key = (path, end_id, cache_chunks)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = CachedEncoder(path, end_id)
+        _ENCODERS[key] = CachedEncoder(path, end_id, cache_chunks)
     return _ENCODERS[key]
 
 
+def release(encoders: bool = True) -> None:
+    """Give unused memory back at a task's end: a worker that waits for its next
+    task keeps what it has. ``encoders``: other work runs here now, so drop them."""
+    import ctypes
+    import gc
+
+    if encoders:
+        _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def in_chunks(batch: pa.RecordBatch, column: str = "text", size: int = 8_000_000):
     """Slices of about ``size`` bytes of ``column``; a longer text stands alone."""
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ that of a group with no other. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -162,28 +162,35 @@ def node(words: int) -> Column:
     return F.col("fp") if words == 1 else F.xxhash64(*WORDS[words])
 
 
+def _entries(distance: int, words: int, segments: int) -> Iterator[tuple[int, Column, bool]]:
+    """(segment, key, own) of the buckets in which a fingerprint stands (own) or
+    only looks for others, so that all links of ``distance`` bits meet."""
+    m = words * segments
+    a, b = divmod(distance, m)
+    edge = [64 * i // segments for i in range(segments + 1)]
+    for s in range(m):
+        lo, hi = edge[s % segments], edge[s % segments + 1]
+        radius = a if s <= b else a - 1
+        key = F.shiftrightunsigned(F.col(WORDS[words][s // segments]), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        for r in range((radius + 1) // 2 + 1 if radius >= 0 else 0):
+            for flips in combinations(range(hi - lo), r):
+                yield s, key.bitwiseXOR(F.lit(sum(1 << i for i in flips)).cast("long")), r <= radius // 2
+
+
 def block_links(fps: DataFrame, distance: int, words: int = 1, segments: int = 3) -> DataFrame:
-    """Links (a, b), by ``node``, of at most ``distance`` bits, found through balls of
-    radius one or less in each of ``segments`` segments of each word.
+    """Links (a, b), by ``node``, of at most ``distance`` bits, found through balls in
+    each of ``segments`` segments of each word.
 
     Two fingerprints that differ in r = m a + b bits differ in at most a bits of
-    one of the first b + 1 of m segments, or in at most a - 1 of another. So with m
-    segments in all, links of up to 2 m - 1 bits are all found; of longer ones
-    those that differ in one bit or none in some segment. Every link has its whole
-    distance verified. Buckets are compared inside a task, at a few nanoseconds a
-    pair, and a large one gives out a forest that joins what its links would join.
+    one of the first b + 1 of m segments, or in at most a - 1 of another. Segments
+    that differ in at most R bits meet in a word that is within R // 2 bits of the
+    one and R - R // 2 of the other. So all links are found, whatever the distance.
+    Every link has its whole distance verified. Buckets are compared inside a task,
+    at a few nanoseconds a pair, and a large one gives out a forest that joins what
+    its links would join.
     """
     columns, m = WORDS[words], words * segments
-    a, b = divmod(distance, m)
-    edge, entries = [64 * i // segments for i in range(segments + 1)], []
-    for s in range(m):
-        lo, hi = edge[s % segments], edge[s % segments + 1]
-        radius = 1 if a > 1 else a if s <= b else a - 1
-        key = F.shiftrightunsigned(F.col(columns[s // segments]), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
-        if radius >= 0:
-            entries.append(F.struct(F.lit(s).alias("seg"), key.alias("key"), F.lit(True).alias("own")))
-        if radius == 1:
-            entries += [F.struct(F.lit(s).alias("seg"), key.bitwiseXOR(F.lit(1 << i).cast("long")).alias("key"), F.lit(False).alias("own")) for i in range(hi - lo)]
+    entries = [F.struct(F.lit(s).alias("seg"), key.alias("key"), F.lit(own).alias("own")) for s, key, own in _entries(distance, words, segments)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -249,10 +256,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS, se
     """One document of each group stays: that with the smallest doc_id (a null
     one only where there is no other), and one of equal rows. Columns are kept.
 
-    Fingerprints have 128 bits here, in two times ``segments`` segments: links of up
-    to fifteen bits are all found, longer ones mostly. Buckets have 16 bits, so
-    comparing them costs rows squared / 65536 x 136 pairs: for some hundred million
-    rows and more, take fewer and longer segments."""
+    Fingerprints have 128 bits here, in two times ``segments`` segments: all
+    links are found. Buckets have 16 bits, so comparing them costs rows squared /
+    65536 x 1156 pairs: for many more rows, take fewer and longer segments."""
     of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, 2, segments), words=2)
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.last").alias("_null"), F.col("r.text_hash").alias("_hash"))

@@ -188,6 +188,25 @@ def test_large_buckets_give_a_forest():
     assert brute_components(nodes, lambda a, b: frozenset((a, b)) in linked) == brute_components(nodes, lambda a, b: frozenset((a, b)) in allowed)
 
 
+def test_links_of_two_bits_in_every_segment(spark):
+    rng, values, pairs = random.Random(8), set(), set()
+    for n in (16, 17, 19, 21):  # eight segments of sixteen bits, two or three bits in each
+        for _ in range(20):
+            x = y = rng.getrandbits(128)
+            for s in range(8):
+                for i in rng.sample(range(16), 2 + (s < n - 16)):
+                    y ^= 1 << 16 * s + i
+            pairs.add((x, y))
+            values |= {x, y}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = {x: (signed(x & (2**64 - 1)), signed(x >> 64)) for x in values}
+    fps = spark.createDataFrame(list(rows.values()), "fp long, fp2 long")
+    named = {(r.fp, r.fp2): r.node for r in fps.select("fp", "fp2", simhash.node(2).alias("node")).collect()}
+    near = {frozenset(named[rows[v]] for v in (x, y)) for x in values for y in values if x < y and (x ^ y).bit_count() <= 21}
+    assert len(near) >= len(pairs)
+    assert {frozenset(r) for r in simhash.block_links(fps, 21, 2, 4).collect()} == near
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -247,19 +247,216 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Most differing bits of 128. Texts whose sets of shingles have a Jaccard similarity
-#: of 0.8 (their counts a cosine of 8/9) differ in 19.5 on average, give or take four.
+#: Differing bits of 128 of the pairs that are judged first. Sets of shingles with a Jaccard
+#: similarity of 0.8 (a cosine of 8/9) differ in 19.5 on average, give or take four.
 NEAR_BITS = 21
 
+#: Bits up to which the first round's buckets hold all pairs.
+FIRST_REACH = 7
+
+#: Texts from whose shingles the common ones are told, and most shingles so told.
+SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
+
+
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, fp, fp2, text_hash): ``node`` is a hash of the set of a text's
+    shingles, and fp, fp2 its SimHash, each shingle counted once."""
+    names = ["doc_id", "node", *WORDS[2], "text_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            out = np.zeros((b.num_rows, 3), np.int64)
+            for i, t in enumerate(b.column("text")):
+                h = _digests(t.as_py(), shingle)
+                out[i, 0] = np.uint64(xxh64_intdigest(_ids(h).tobytes(), SEED)).astype(np.int64)
+                ones = np.zeros(128, np.int64)
+                for a in range(0, len(h), 1 << 15):
+                    ones += np.unpackbits(h[a : a + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[i, 1:] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in out.T), b.column("text_hash")], names)
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _digests(text: str | None, shingle: int) -> np.ndarray:
+    """XXH128 of each distinct shingle, sixteen bytes a row; a short text is one shingle."""
+    from xxhash import xxh128_digest
+
+    tokens = text.encode().lower().split() if text else []
+    if len(tokens) < shingle:
+        distinct = {b" ".join(tokens)} if tokens else set()
+    else:
+        distinct = set(map(b" ".join, zip(*(tokens[k:] for k in range(shingle)))))
+    return np.frombuffer(b"".join(map(xxh128_digest, distinct, repeat(SEED))), np.uint8).reshape(-1, 16)
+
+
+def _ids(digests: np.ndarray) -> np.ndarray:
+    """The set of shingles as sorted 64-bit numbers."""
+    return np.unique(digests.view("<i8")[:, 0])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets, from batches that are sorted by their first column."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(cols[0]):
+            continue
+        if kept is not None:
+            cols = [np.concatenate([k, c]) for k, c in zip(kept, cols)]
+        last = np.flatnonzero(cols[0] != cols[0][-1])
+        cut = last[-1] + 1 if len(last) else 0
+        kept = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if kept is not None:
+        yield kept
+
+
+def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of a bucket's rows that have different roots and can have a
+    similarity of 0.8: ``n`` shingles, of which ``at`` stand before the shared one.
+    Rows of the commonest root aren't compared with each other."""
+    roots, place, count = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) == 1:
+        return
+    most = place == count.argmax()
+    order = np.concatenate([np.flatnonzero(~most), np.flatnonzero(most)])
+    rest = len(order) - count.max()
+    n, left, place = n[order], (n - at)[order], place[order]
+    step = max(1, (1 << 18) // len(order))
+    for a in range(0, rest, step):
+        z = min(a + step, rest)
+        # common / (n + m - common) >= 0.8, in whole numbers, with the most that can be common
+        can = 9 * np.minimum(left[a:z, None], left[None, a:]) >= 4 * (n[a:z, None] + n[None, a:])
+        i, j = np.nonzero(can & (place[a:z, None] != place[None, a:]))
+        i, j = i + a, j + a
+        yield np.stack([order[i[i < j]], order[j[i < j]]])
+
+
+def first_pairs(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp, fp2) of at most ``distance`` differing bits
+    that share a segment; a large bucket gives a forest of them."""
+    entries = [key.bitwiseOR(F.lit(s << 56).cast("long")) for s, key, _ in _entries(FIRST_REACH, 2, segments)]
+    names = ["key", "node", "fp", "fp2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, fp2 in _runs(batches, names):
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(new, len(key)))
+            yield _named(node, _ball_links(np.stack([fp, fp2], axis=1), np.ones(len(key), bool), new[size > 1], size[size > 1], distance))
+        release()
+
+    return _dealt(nodes.select("node", "fp", "fp2", F.explode(F.array(*entries)).alias("key")).select(*names), run)
+
+
+def _named(node: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+    one, two = node[np.concatenate(found, axis=1)] if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
+
+
+def _dealt(rows: DataFrame, run: Callable) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").filter("a != b").distinct()
+
+
+def _common(docs: DataFrame, nodes: int, shingle: int) -> np.ndarray:
+    """Shingles of three or more texts of a sample, the most common last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(_digests(t.as_py(), shingle)))], ["id"])
+
+    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(F.pmod("text_hash", F.lit(max(1, nodes // SAMPLE_TEXTS))) == 0)
+    texts = hashed.groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
+    counts = texts.mapInArrow(run, "id long").groupBy("id").count().filter("count > 2")
+    top = counts.orderBy(F.desc("count"), "id").limit(COMMON_SHINGLES).select("id").toArrow()
+    return top.column("id").to_numpy()[::-1].copy()
+
+
+def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, root, text_hash) with different roots, among them
+    all that have a similarity of 0.8 or more.
+
+    Two sets with that similarity share one of the first n - ceil(0.8 n) + 1 of
+    each one's n members, in any order that is the same for all sets. Here
+    ``common`` shingles come last, so that a shared passage seldom makes a pair."""
+    names, place = ["key", "node", "root", "n", "at"], np.argsort(common)
+    ids_sorted = common[place]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, node, root in zip(b.column("text"), b.column("node"), b.column("root")):
+                ids = _ids(_digests(t.as_py(), shingle))
+                n = len(ids)
+                if not n:
+                    continue
+                rank = np.zeros(n, np.int64)
+                if len(common):
+                    k = np.minimum(np.searchsorted(ids_sorted, ids), len(common) - 1)
+                    rank = np.where(ids_sorted[k] == ids, place[k] + 1, 0)
+                first = ids[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+                m = len(first)
+                cols = (first, np.full(m, node.as_py()), np.full(m, root.as_py()), np.full(m, n), np.arange(m))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, root, n, at in _runs(batches, names):
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size, found = np.diff(np.append(new, len(key))), []
+            for i, k in zip(new[size > 1], size[size > 1]):
+                part = slice(i, i + k)
+                found += [i + p for p in _cross_pairs(n[part], at[part], root[part])]
+            yield _named(node, found)
+        release()
+
+    return _dealt(_texts(docs, nodes, "root").mapInArrow(prefixes, ", ".join(f"{c} long" for c in names)), run)
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """(node, ..., text), one text of each node; copies meet before they are dealt out."""
+    distinct = docs.select(F.xxhash64("text").alias("text_hash"), "text").groupBy("text_hash").agg(F.first("text").alias("text"))
+    return distinct.join(nodes.select("node", "text_hash", *more), "text_hash").select("node", *more, "text")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_ids(_digests(t.as_py(), shingle)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "ids"])
+        release()
+
+    sets = materialize(_texts(docs, nodes.join(used, "node", "left_semi")).mapInArrow(run, "node long, ids array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
+    total, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
+    # common / (total - common) >= 0.8, in whole numbers
+    return materialize(both.filter(9 * common >= 4 * total).select("a", "b"), "similar")
+
 
 def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS, segments: int = 4) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id (a null
     one only where there is no other), and one of equal rows. Columns are kept.
 
-    Fingerprints have 128 bits here, in two times ``segments`` segments: all
-    links are found. Buckets have 16 bits, so comparing them costs rows squared /
-    65536 x 1156 pairs: for many more rows, take fewer and longer segments."""
-    of = components(docs.select("doc_id", "text"), shingle, lambda fps: block_links(fps, distance, 2, segments), words=2)
+    Groups are chains of pairs whose sets of shingles have a Jaccard similarity of
+    0.8 or more: all such pairs, and no other. A first round takes candidates of at
+    most ``distance`` bits from 128-bit fingerprints and judges them, so that the
+    second, which finds all that are left by their rare shingles, need not pair a
+    large group's members with each other."""
+    rows = materialize(shingled(docs.select("doc_id", "text"), shingle), "fingerprints")
+    nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("text_hash").alias("text_hash")), "shingle-nodes")
+    links = similar(docs, nodes, materialize(first_pairs(nodes, distance, segments), "candidates"), shingle)
+    placed = materialize(nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    common = _common(docs, nodes.count(), shingle)
+    left = materialize(rare_pairs(docs, placed, common, shingle), "candidates")
+    roots = connected_components(links.unionAll(similar(docs, nodes, left, shingle)))
+    of = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))
     keep = first.select(F.coalesce("r.doc_id", F.lit(0)).alias("_id"), F.col("r.last").alias("_null"), F.col("r.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})

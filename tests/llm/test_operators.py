@@ -252,6 +252,44 @@ def test_edited_copies_go_and_others_stay(spark):
     assert left >= set(range(originals)) and len(left) <= originals * 1.1
 
 
+def shingle_set(text, k=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def alike(a, b):
+    """A Jaccard similarity of 0.8 or more; texts without a word are alike."""
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_groups_are_those_of_the_similarity(spark):
+    rng, words = random.Random(77), vocabulary(3000, 6)
+    texts = ["", " ", "one", "one two", "Again again " * 40, "again " * 9]
+    for shared in range(300, 440, 4):  # similarities from about 0.43 to 0.98, on both sides of 0.8
+        text = [rng.choice(words) for _ in range(500)]
+        texts += [" ".join(text), " ".join(text[: shared + 50] + [rng.choice(words) for _ in range(450 - shared)])]
+    body = [rng.choice(words) for _ in range(200)]
+    for _ in range(150):  # a large group, whose members share a bucket
+        copy = list(body)
+        copy[rng.randrange(200)] = "edited"
+        texts.append(" ".join(copy))
+    # one shingle repeated often doesn't make two texts alike
+    texts += ["say it again and again " * 60 + " ".join(rng.choice(words) for _ in range(60)) for _ in range(2)]
+    sets = [(i, shingle_set(t)) for i, t in enumerate(texts)]
+    want = sorted(set(brute_components(sets, alike).values()))
+    out = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in out.collect()) == want
+
+
+def test_all_cross_pairs_of_a_bucket():
+    rng = np.random.default_rng(9)
+    n, root = rng.integers(20, 40, 700), np.where(rng.random(700) < 0.6, 5, rng.integers(0, 40, 700))
+    at = rng.integers(0, 6, 700)
+    got = [tuple(sorted(p)) for part in simhash._cross_pairs(n, at, root) for p in part.T.tolist()]
+    can = lambda i, j: 9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
+    assert sorted(got) == [(i, j) for i in range(700) for j in range(i + 1, 700) if root[i] != root[j] and can(i, j)]
+
+
 def test_null_ids_keep_their_text(spark):
     rows = [(None, "a b c d e f g"), (None, "quite another text that has nothing to do with it"), (4, "a b c d e f g"), (4, "a b c d e f g")]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -65,18 +65,29 @@ def _permuted(inner: str, x: str, n: str, keys: list[str], seed: int, others: st
     return q
 
 
+def _uniform(g: str, seed: int) -> str:
+    """mixing.uniform of ``g``, as nested queries over a table draw(g)."""
+    p, a = mixing.P, mixing.constants(seed, 7)
+    q = f"SELECT g, ({g} % {p} * {a[0]}::BIGINT + {g} // {p} * {a[1]}::BIGINT + {a[2]}) % {p} AS x FROM slots"
+    for k in (3, 5):
+        q = f"SELECT g, x, x * x % {p} AS s FROM ({q})"
+        q = f"SELECT g, (s * s % {p} * x % {p} * {a[k]}::BIGINT + {a[k + 1]}) % {p} AS x FROM ({q})"
+    return q
+
+
 def source_mix(block: int = 32, seed: int = 11) -> str:
     p, cap = mixing.P, mixing.CAP
     a, b = mixing.constants(3, 2)
+    again = _permuted("SELECT shard, over0 + i - draws AS j, m FROM placed WHERE i >= draws", "j", "m", [], seed + 1, "shard")
     shuffled = _permuted(
-        "SELECT sid, blocks, CAST(floor(i / blocks) AS BIGINT) AS epoch, i % blocks AS block FROM (SELECT sid, blocks, unnest(range(draws)) AS i FROM sources WHERE draws > 0)",
+        "SELECT * FROM indexed",
         "block", "blocks", ["sid", "epoch"], seed, "sid, epoch",
     )
     return f"""
 WITH rws AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 buckets AS (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT AS m FROM rws),
-placed AS (SELECT doc_id, source, size, (((doc_id % {p} + {p}) % {p} * {a}::BIGINT + {b}) % {p}) % m AS bucket FROM rws, buckets),
-streams AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_start FROM placed),
+ordered AS (SELECT doc_id, source, size, (((doc_id % {p} + {p}) % {p} * {a}::BIGINT + {b}) % {p}) % m AS bucket FROM rws, buckets),
+streams AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_start FROM ordered),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rws GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sizes),
 weighed AS (SELECT *, sid % 3 + 1 AS weight, source_size * {cap} AS capped FROM ranked),
@@ -84,15 +95,31 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(capped) OVER w, 0)
            FROM weighed WINDOW w AS (ORDER BY capped::DOUBLE / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 aimed AS (SELECT *, least(capped::DOUBLE, max(level) OVER () * weight) AS target, ceil(source_size::DOUBLE / {block})::BIGINT AS blocks FROM levels),
 passed AS (SELECT *, least(floor(target / greatest(source_size, 1)), {cap})::BIGINT AS passes FROM aimed),
-sources AS (SELECT *, least(passes * blocks + round((target - passes * source_size) * blocks / greatest(source_size, 1))::BIGINT, {cap} * blocks) AS draws FROM passed),
-drawn AS (SELECT sid, block, count(*) AS times FROM ({shuffled}) GROUP BY sid, block),
+sources AS (SELECT *, least(passes * blocks + round((target - passes * source_size) * blocks / greatest(source_size, 1))::BIGINT, {cap} * blocks)::BIGINT AS draws FROM passed),
+total AS (SELECT coalesce(sum(draws), 0)::BIGINT AS t FROM sources),
+upto AS (SELECT sid, draws, sum(draws) OVER (ORDER BY sid)::BIGINT AS u FROM sources),
+shares AS (SELECT sid, floor((u - draws)::DOUBLE / t::DOUBLE * {p})::BIGINT AS lo, floor(u::DOUBLE / t::DOUBLE * {p})::BIGINT AS hi FROM upto, total WHERE t > 0),
+slots AS MATERIALIZED (SELECT unnest(range(t)) AS g FROM total),
+thrown AS MATERIALIZED ({_uniform("g", seed)}),
+counts AS MATERIALIZED (SELECT g // {mixing.SLOTS} AS shard, sid, count(*) AS n FROM thrown JOIN shares ON x >= lo AND x < hi GROUP BY ALL),
+got AS (SELECT sid, sum(n)::BIGINT AS n FROM counts GROUP BY sid),
+needs AS (SELECT s.sid, draws, least(draws, coalesce(n, 0)) AS kept, greatest(coalesce(n, 0) - draws, 0) AS over, draws - least(draws, coalesce(n, 0)) AS room FROM sources s LEFT JOIN got USING (sid)),
+rooms AS (SELECT *, (sum(over) OVER w - over)::BIGINT AS over0, (sum(room) OVER w - room)::BIGINT AS room0, (sum(over) OVER ())::BIGINT AS m FROM needs WINDOW w AS (ORDER BY sid ROWS UNBOUNDED PRECEDING)),
+listed AS (SELECT shard, sid, unnest(range(a, a + n)) AS i FROM (SELECT *, (sum(n) OVER (PARTITION BY sid ORDER BY shard) - n)::BIGINT AS a FROM counts)),
+placed AS MATERIALIZED (SELECT * FROM listed JOIN rooms USING (sid)),
+again AS MATERIALIZED ({again}),
+drawn AS MATERIALIZED (SELECT sid, i FROM placed WHERE i < draws
+          UNION ALL SELECT r.sid, r.kept + x.j - r.room0 FROM again x JOIN rooms r ON x.j >= r.room0 AND x.j < r.room0 + r.room),
+indexed AS MATERIALIZED (SELECT sid, blocks, i // blocks AS epoch, i % blocks AS block FROM drawn JOIN sources USING (sid)),
+shuffled AS MATERIALIZED ({shuffled}),
+chosen AS MATERIALIZED (SELECT sid, block, count(*) AS times FROM shuffled GROUP BY sid, block),
 spans AS (SELECT *, unnest(range(row_start // {block}, (row_start + size - 1) // {block} + 1)) AS block
           FROM (SELECT sid, t.* FROM streams t JOIN ranked r ON t.source IS NOT DISTINCT FROM r.source WHERE size > 0)),
-got AS (SELECT s.sid, s.row_start, sum(times * (least((s.block + 1) * {block}, row_start + size) - greatest(s.block * {block}, row_start)))::BIGINT AS taken
-        FROM spans s JOIN drawn d ON s.sid = d.sid AND s.block = d.block GROUP BY s.sid, s.row_start)
+words AS (SELECT s.sid, s.row_start, sum(times * (least((s.block + 1) * {block}, row_start + size) - greatest(s.block * {block}, row_start)))::BIGINT AS taken
+          FROM spans s JOIN chosen d ON s.sid = d.sid AND s.block = d.block GROUP BY s.sid, s.row_start)
 SELECT t.doc_id, t.size, o.source_size, o.target, CASE WHEN t.size > 0 THEN coalesce(g.taken, 0) ELSE 0 END::BIGINT AS taken
 FROM streams t JOIN sources o ON t.source IS NOT DISTINCT FROM o.source
-LEFT JOIN got g ON g.sid = o.sid AND g.row_start = t.row_start AND t.size > 0"""
+LEFT JOIN words g ON g.sid = o.sid AND g.row_start = t.row_start AND t.size > 0"""
 
 
 def exact_topk() -> str:

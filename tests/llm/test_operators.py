@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -345,10 +345,21 @@ def test_permutation_is_one(spark):
 
 
 def test_shards_and_mixed_documents(docs, nothing):
-    mixed = mixing.mix(docs, block=8)
-    placed = mixing.shards(mixed, slots=16).select("shard", "slot", "g").distinct().collect()
-    total = mixed.sources.agg(F.sum("draws")).first()[0]
-    assert sorted(r.shard * 16 + r.slot for r in placed) == list(range(total))
+    mixed = mixing.mix(docs, block=8, slots=16)
+    draws = {r.sid: (r.draws, r.blocks) for r in mixed.sources.collect()}
+    total = sum(n for n, _ in draws.values())
+    slots = mixed.pieces.select("sid", "shard", "i", "epoch", "block").distinct().collect()
+    # every slot is one source's; each source's indexes are used once, each pass has a block once
+    assert Counter(r.sid for r in slots) == {k: n for k, (n, _) in draws.items() if n} and sorted(Counter(r.shard for r in slots).values())[1:] == [16] * ((total - 1) // 16)
+    assert sorted((r.sid, r.i) for r in slots) == sorted((k, i) for k, (n, _) in draws.items() for i in range(n))
+    assert len({(r.sid, r.epoch, r.block) for r in slots}) == total and all(r.epoch == r.i // draws[r.sid][1] < 3 for r in slots)
+    # the counts are draws: they vary from shard to shard, and their mean and variance are the multinomial's
+    counts = defaultdict(dict)
+    for r in mixed.counts.collect():
+        counts[r.shard][r.sid] = r.n
+    assert all(sum(c.values()) == 16 for k, c in counts.items() if k < total // 16)
+    held = Counter((r.shard, r.sid) for r in slots)
+    assert {(r.shard, r.sid): r.n for r in mixing.shards(mixed).collect()} == held
     out = mixing.mixed_documents(docs, block=8)
     assert out.columns == docs.columns
     words = defaultdict(int)
@@ -362,6 +373,41 @@ def test_shards_and_mixed_documents(docs, nothing):
     assert mixing.mixed_documents(nothing).count() == 0
 
 
+def test_shard_counts_are_multinomial(spark):
+    share = {0: 30_000, 1: 50_000, 2: 20_000, 3: 0}
+    sources = spark.createDataFrame(list(share.items()), "sid long, draws long")
+    counts, drawn = mixing.draw(sources, 100_000, 1000, 4)
+    got = defaultdict(lambda: np.zeros(100, int))
+    for r in counts.collect():
+        got[r.sid][r.shard] = r.n
+    for k, n in share.items():
+        p = n / 100_000
+        assert abs(got[k].mean() - 1000 * p) <= 5 * np.sqrt(1000 * p * (1 - p) / 100)
+        assert 0.5 * 1000 * p * (1 - p) <= got[k].var() <= 1.7 * 1000 * p * (1 - p)
+    # independent from shard to shard
+    assert abs(np.corrcoef(got[1][:-1], got[1][1:])[0, 1]) < 0.35
+    # settled to what each source needs, and little was drawn again
+    assert {r.sid: (r.n, r.m) for r in drawn.groupBy("sid").agg(F.count("i").alias("n"), F.countDistinct("i").alias("m")).collect()} == {k: (n, n) for k, n in share.items() if n}
+    after = {(r.shard, r.sid): r["count"] for r in drawn.groupBy("shard", "sid").count().collect()}
+    assert sum(abs(after.get((s, k), 0) - got[k][s]) for k in share for s in range(100)) < 0.02 * 100_000
+
+
+def test_draws_of_a_few_blocks(spark):
+    sources = spark.createDataFrame([(i, i % 3) for i in range(50)], "sid long, draws long")
+    _, drawn = mixing.draw(sources, 49, 1, 9)
+    assert sorted((r.sid, r.i) for r in drawn.collect()) == [(i, j) for i in range(50) for j in range(i % 3)]
+    assert sorted(r.shard for r in drawn.collect()) == list(range(49))
+
+
+def test_null_ids_and_sources_mix(spark):
+    rows = [(None, f"w{i} x y z", "a" if i % 2 else None) for i in range(60)] + [(7, "same text here", "a"), (7, "same text here", "b"), (7, "same text here", "b"), (8, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(mixing.mix(docs, block=4, slots=8)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    words = sum(len(r.text.split()) for r in mixing.mixed_documents(docs, block=4).collect())
+    assert words == sum(r.taken for r in mixing.taken(mixing.mix(docs, block=4)).collect())
+
+
 # 4 and 8
 
 

@@ -20,7 +20,9 @@ MAX_BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A private folder is chosen only where the session has none (local tests).
+    A private folder is chosen only where the session has none and runs in one
+    process (local tests); on a cluster, where each machine would write its part
+    to its own disk, a session without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -28,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -61,9 +66,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``, once no plan reads it any more."""
-    drop_path(df.sparkSession, df._scratch)
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``tables``, once no plan reads it any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._scratch)
+        _SCRATCH[:] = [x for x in _SCRATCH if x[1] != df._scratch]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -16,17 +16,25 @@ from .common import discard, materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step over links (hi > lo). Large: each node points its larger
-    neighbours at its smallest; small: it points itself and its smaller ones."""
+    """One step over links (hi > lo), written. Large: each node points its larger
+    neighbours at its smallest; small: it points itself and its smaller ones.
+
+    The smallest neighbours are written before the join: a join in the stage of
+    their aggregate could not split the links of a hub, as both would have to
+    keep its partitions."""
+    hi, lo = F.col("hi"), F.col("lo")
     if large:
-        near = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = near.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        both = links.select(hi.alias("u"), lo.alias("v")).unionAll(links.select(lo.alias("u"), hi.alias("v")))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        # of a node's links only those to larger ones move
+        out = links.select(lo.alias("u"), hi.alias("v")).join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     else:
-        least = links.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        moved = links.join(least, links.hi == least.u).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = materialize(links.groupBy(hi.alias("u")).agg(F.min("lo").alias("m")), "least")
+        moved = links.join(least, hi == F.col("u")).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         out = moved.unionAll(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-    return out.filter("hi != lo").distinct()
+    out = materialize(out.filter("hi != lo").distinct(), "links")
+    discard(least)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -41,8 +49,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state != was and state[0]:
         was = state
-        before, now = now, materialize(_star(_star(now, large=True), large=False), "links")
-        discard(before)
+        before, middle = now, _star(now, large=True)
+        now = _star(middle, large=False)
+        discard(before, middle)
         state = _state(now)
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

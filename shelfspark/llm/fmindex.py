@@ -1,20 +1,19 @@
 """A compressed full-text index over words: BWT in a wavelet matrix, rank
-directories, backward search, and matching statistics of whole patterns.
+directories, backward search, and matching statistics of streamed patterns.
 
 The text is a set of pieces with a separator (symbol 0) after each. Suffixes are
-sorted by their first 64 symbols, which is enough for patterns up to that
-length: the rows that start with a pattern are one interval in such an order,
-and a backward step finds the next interval by counting alone.
+sorted by their first ``depth`` symbols, which is enough for matches shorter
+than that: the rows that start with a match are one interval in such an order,
+and a backward step finds the next interval by counting alone. Where no row goes
+on with the next symbol, the match gives up its last symbols: the lengths of the
+prefixes that neighbouring rows share tell the longest shorter match with more
+rows, and how far its interval reaches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols by which suffixes are told apart; patterns may be as long.
-DEPTH = 64
-
-
 class Bits:
     """A bitmap with a rank directory: ones before each 64-bit word."""
 
@@ -68,33 +67,61 @@ def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class FMIndex:
-    """Index of ``pieces``: arrays of symbols over 1..size-1."""
+    """Index of ``pieces``: arrays of symbols over 1..size-1, for matches of up to
+    ``longest`` symbols."""
 
-    def __init__(self, pieces: list[np.ndarray], size: int):
+    def __init__(self, pieces: list[np.ndarray], size: int, longest: int = 63):
         lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(lengths + 1) - lengths - 1
         text = np.zeros(int(lengths.sum()) + len(pieces) + 1, np.int64)
         text[np.repeat(self.starts, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.concatenate(pieces)
-        self.lengths, n = lengths, len(text)
+        self.lengths, self.rows, self.longest, n = lengths, len(text), longest, len(text)
+        depth = 1 << longest.bit_length()
 
         rank, k = _dense(text)
-        self.prefix = {}
-        h = 1
-        while h < DEPTH:
+        ranks = [(1, rank)]  # classes of suffixes by their first 1, 2, 4, ... symbols
+        while ranks[-1][0] < depth:
+            h = ranks[-1][0]
             if k < n:
                 after = np.zeros(n, np.int64)
                 after[:-h] = rank[h:] + 1
                 rank, k = _dense(rank * (k + 1) + after)
-            h *= 2
-            if h == DEPTH // 2:
-                self.prefix = {h: rank}
+            ranks.append((2 * h, rank))
         self.order = np.argsort(rank, kind="stable")
+        self.lcp = self._shared(ranks, depth)
         bwt = text[self.order - 1]
         self.size = size
         self.matrix = WaveletMatrix(bwt, max(1, int(size - 1).bit_length()))
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.rows = n
         self.text = text
+        #: Matches that had to give up their last symbols.
+        self.restarts = 0
+
+    def _shared(self, ranks: list[tuple[int, np.ndarray]], depth: int) -> list[np.ndarray]:
+        """Minima over 1, 2, 4, ... entries of the number of symbols, up to ``depth``,
+        that each row shares with the one before; none at both ends."""
+        i, j, n = self.order[:-1], self.order[1:], self.rows
+        common = np.zeros(n - 1, np.int64)
+        for h, r in reversed(ranks):
+            a, b = i + common, j + common
+            inside = (a < n) & (b < n) & (common + h <= depth)
+            common[inside] += h * (r[a[inside]] == r[b[inside]])
+        out = [np.concatenate([[0], common, [0]]).astype(np.uint8 if depth < 256 else np.int64)]
+        while 2 * (w := 1 << (len(out) - 1)) <= n + 1:
+            out.append(np.minimum(out[-1][:-w], out[-1][w:]))
+        return out
+
+    def widen(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all rows that share their first ``length`` symbols with lo..hi."""
+        lo, hi = lo.copy(), hi.copy()
+        for k in reversed(range(len(self.lcp))):
+            w, least = 1 << k, self.lcp[k]
+            at = np.maximum(lo - w + 1, 0)
+            lo -= w * ((lo - w + 1 >= 0) & (least[at] >= length))
+            at = np.minimum(hi, len(least) - 1)
+            hi += w * ((hi < len(least)) & (least[at] >= length))
+        whole = length == 0
+        return np.where(whole, 0, lo), np.where(whole, self.rows, hi)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the rows that start with symbol + what lo..hi starts with."""
@@ -103,14 +130,11 @@ class FMIndex:
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
     def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows grouped by their first ``length`` symbols (32 to 63): the class of
-        each row, and the bounds of the classes."""
-        half = self.prefix[DEPTH // 2]
-        shifted = np.zeros(self.rows, np.int64)
-        k = length - DEPTH // 2
-        shifted[: self.rows - k] = half[k:] + 1
-        a, b = half[self.order], shifted[self.order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        """Rows grouped by their first ``length`` symbols: the class of each row, and
+        the bounds of the classes."""
+        if not 0 < length <= self.longest:
+            raise ValueError(f"this index holds matches of 1 to {self.longest} symbols, not {length}")
+        new = self.lcp[0][: self.rows] < length
         return np.cumsum(new) - 1, np.append(np.flatnonzero(new), self.rows)
 
     def statistics(self, patterns: list[np.ndarray], most: int):
@@ -131,24 +155,20 @@ class FMIndex:
         for back in range(1, int(size.max(initial=0)) + 1):
             live = who[: int(np.searchsorted(-size[who], -back, side="right"))]
             place = size[live] - back
-            a, b = self.step(flat[first[live] + place], lo[live], hi[live])
-            n_matched = length[live] + 1
-            for i in np.flatnonzero(a >= b):
-                a[i], b[i], n_matched[i] = self._restart(flat[first[live[i]] + place[i] :][: n_matched[i]])
-            cut = n_matched > most
+            symbol, l, h, m = flat[first[live] + place], lo[live], hi[live], length[live]
+            a, b = self.step(symbol, l, h)
+            stuck = np.flatnonzero((a >= b) & (m > 0))
+            while len(stuck):
+                self.restarts += len(stuck)
+                m[stuck] = np.maximum(self.lcp[0][l[stuck]], self.lcp[0][h[stuck]])
+                l[stuck], h[stuck] = self.widen(l[stuck], h[stuck], m[stuck])
+                a[stuck], b[stuck] = self.step(symbol[stuck], l[stuck], h[stuck])
+                stuck = stuck[(a[stuck] >= b[stuck]) & (m[stuck] > 0)]
+            none = a >= b
+            a[none], b[none] = 0, self.rows
+            matched = np.where(none, 0, m + 1)
+            cut = matched > most
             of_cut = of[a[cut]]
-            a[cut], b[cut], n_matched[cut] = bounds[of_cut], bounds[of_cut + 1], most
-            lo[live], hi[live], length[live] = a, b, n_matched
-            yield live, place, n_matched, a
-
-    def _restart(self, pattern: np.ndarray) -> tuple[int, int, int]:
-        """Interval of the longest prefix of ``pattern`` that occurs."""
-        for n in range(len(pattern) - 1, 0, -1):
-            lo, hi = np.array([0]), np.array([self.rows])
-            for c in pattern[:n][::-1]:
-                lo, hi = self.step(np.array([c]), lo, hi)
-                if lo[0] >= hi[0]:
-                    break
-            else:
-                return int(lo[0]), int(hi[0]), n
-        return 0, self.rows, 0
+            a[cut], b[cut], matched[cut] = bounds[of_cut], bounds[of_cut + 1], most
+            lo[live], hi[live], length[live] = a, b, matched
+            yield live, place, matched, a

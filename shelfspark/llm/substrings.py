@@ -7,21 +7,27 @@ shares nothing with. Neighbouring windows with the same anchor make one piece of
 a document. Only pieces whose anchor stands in two documents or more go on, each
 distinct piece once, with the smallest document that holds it.
 
-A shard builds a compressed FM-index (a wavelet matrix with rank directories) of
-its distinct pieces and streams the pieces through it: backward search gives the
-matching statistics, and each window that is matched whole gives an interval of
-rows, over which the smallest document is found. The window is reported to every
-document that holds the piece and is larger.
-
-An anchor with many distinct pieces (a passage in many documents, which each
-have their own words before it) would put them all in one shard. The windows of
-such pieces are dealt by a hash of the whole window instead; those seen in one
-document only are dropped, and each of the others is a piece of one window.
+The pieces of an anchor are ranked by their smallest document. What a piece holds
+of an earlier one is found by search: for each binary digit of the ranks, a
+shard builds a compressed FM-index (a wavelet matrix with rank directories) of
+the pieces whose digit is 0 and streams those whose digit is 1 through it, so
+any two pieces of an anchor meet once, the later against an index of the
+earlier. Backward search gives the matching statistics; a window that is matched
+whole gives an interval of rows, over which the smallest document is found. A
+piece's windows also stand in its own smallest document. Each window with a
+smallest document is reported to every larger document that holds the piece.
+
+An anchor with more than ``hot_pieces`` distinct pieces (a passage in thousands
+of documents, which each have their own words before it) would put them all in
+one shard. The windows of such pieces are grouped by two hashes of the whole
+window instead, which is exact but for collisions of 128 bits and spreads over
+any number of tasks: there, no index is searched.
 
 Windows are judged on the input. Null text has no words. A document with a null
 id is never "an earlier document", nor loses words. Rows with the same id are
-one document for this comparison. Shorter texts than a window lose nothing; an
-empty table gives an empty table; extra columns are ignored.
+one document for this comparison. Shorter texts than a window lose nothing; very
+long ones are read in stretches of 2 million words, whose pieces overlap by a
+window; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, discard, materialize
+from .common import discard, materialize
 from .fmindex import FMIndex
 from .tokenize import in_chunks
 
@@ -43,7 +49,7 @@ WINDOW = 50
 GRAM = 8
 
 #: Distinct pieces from which an anchor's windows are dealt one by one.
-HOT_PIECES = 64
+HOT_PIECES = 2048
 
 #: Words in a shard, about.
 SHARD_WORDS = 400_000
@@ -191,12 +197,12 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
 TAKEN = "hot boolean, anchor long, piece long, offset long, w1 long, w2 long, lo long, hi long, start long, windows long, text string"
 
 
-def extract(docs: DataFrame, wanted: DataFrame, window: int, small: bool) -> DataFrame:
+def extract(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """Words of the pieces ``wanted`` (doc, start, windows, hot, anchor, piece, hi) from
     one document that has each; of a hot piece the hashes of all its windows."""
     item = F.struct("start", "windows", "hot", "anchor", "piece", "hi")
     of_doc = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(item).alias("items"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(of_doc) if small else of_doc, "doc_id")
+    joined = docs.select("doc_id", "text").join(of_doc, "doc_id")
     names = [c.split()[0] for c in TAKEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +219,8 @@ def extract(docs: DataFrame, wanted: DataFrame, window: int, small: bool) -> Dat
                     inside = start + n + window - 1 <= b - a
                     same = np.zeros(len(start), bool)
                     h = prefix.hash(start[inside], n[inside] + window - 1)
-                    # the words asked for: a piece by its hash, a single window by both of its hashes
-                    same[inside] = (h == piece[inside]) | (h == anchor[inside])
+                    # of rows with the same id, the one that has the words
+                    same[inside] = h == piece[inside]
                     for k in np.flatnonzero(same & ~is_hot):
                         cold.append((anchor[k], piece[k], ids[i], hi[k], start[k], n[k], w.text(a + start[k], a + start[k] + n[k] + window - 1)))
                     if len(k := np.flatnonzero(same & is_hot)):
@@ -238,30 +244,35 @@ FOUND = "anchor long, piece long, found array<struct<offset:long,n:long,lo:long>
 
 
 def shard_index(table: pa.Table, window: int) -> pa.Table:
-    """One shard: index its distinct pieces, stream them, report for each piece the
-    runs of windows whose smallest document is smaller than one that holds the piece."""
+    """One shard: stream pieces through indexes of earlier ones, and report for each
+    the runs of windows whose smallest document is smaller than one that holds the piece."""
     df = table.select(["anchor", "piece", "lo", "hi"]).to_pandas()
     keep = (~df.duplicated(["anchor", "piece"])).to_numpy()
-    df, texts = df[keep], table.column("text").combine_chunks().filter(pa.array(keep))
+    df, texts = df[keep].reset_index(drop=True), table.column("text").combine_chunks().filter(pa.array(keep))
     lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
     coded = pc.dictionary_encode(lists.flatten())
     flat = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    pieces = np.split(flat, at[1:-1])
-    index = FMIndex(pieces, len(coded.dictionary) + 1)
-    of, bounds = index.classes(window)
-    owner = np.repeat(np.arange(len(pieces)), index.lengths + 1)
-    lo = df["lo"].to_numpy()
-    at_row = lo[np.append(owner, len(pieces) - 1)[index.order]]
-    least_doc = np.minimum.reduceat(at_row, bounds[:-1])
-    windows = index.lengths - window + 1
+    lo, lengths = df["lo"].to_numpy(), np.diff(at)
+    windows = lengths - window + 1
     first = np.cumsum(windows) - windows
-    result = np.full(int(windows.sum()), np.iinfo(np.int64).max)
-    for live, place, n, row in index.statistics(pieces, window):
-        whole = n >= window
-        result[first[live[whole]] + place[whole]] = least_doc[of[row[whole]]]
+    result = np.repeat(lo, windows)
+    ranked = df.sort_values(["lo", "piece"], kind="stable").groupby("anchor")
+    rank, size = ranked.cumcount().sort_index().to_numpy(), df.groupby("anchor")["lo"].transform("size").to_numpy()
+    for level in reversed(range(int(size.max() - 1).bit_length())):
+        half = rank >> level
+        indexed = np.flatnonzero((half & 1 == 0) & ((half + 1) << level < size))
+        streamed = np.flatnonzero(half & 1 == 1)
+        index = FMIndex([flat[at[i] : at[i + 1]] for i in indexed], len(coded.dictionary) + 1, window)
+        of, bounds = index.classes(window)
+        owner = np.repeat(indexed, index.lengths + 1)
+        least_doc = np.minimum.reduceat(lo[np.append(owner, indexed[-1])[index.order]], bounds[:-1])
+        for live, place, n, row in index.statistics([flat[at[i] : at[i + 1]] for i in streamed], window):
+            whole = n >= window
+            spot = first[streamed[live[whole]]] + place[whole]
+            result[spot] = np.minimum(result[spot], least_doc[of[row[whole]]])
     # runs of windows with the same smallest document
-    who = np.repeat(np.arange(len(pieces)), windows)
+    who = np.repeat(np.arange(len(df)), windows)
     new = np.flatnonzero(np.concatenate([[True], (result[1:] != result[:-1]) | (who[1:] != who[:-1])]))
     size = np.diff(np.append(new, len(result)))
     use = result[new] < df["hi"].to_numpy()[who[new]]
@@ -275,7 +286,9 @@ def shard_index(table: pa.Table, window: int) -> pa.Table:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_pieces: int = HOT_PIECES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, spans): word spans [a, b) of each document that windows cover which
-    also start in a smaller document."""
+    also start in a smaller document. A window has at least GRAM words."""
+    if window < GRAM:
+        raise ValueError(f"a window of {window} words is shorter than an anchor of {GRAM}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     every = materialize(runs(docs, window), "runs")
@@ -286,23 +299,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_pieces: int = HO
     pieces = held.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("hi"), F.min_by("start", "doc_id").alias("start"), F.first("windows").alias("windows"))
     pieces = materialize(pieces, "pieces")
     many = materialize(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).select("anchor", (F.col("c") > hot_pieces).alias("hot")), "anchor-pieces")
-    taken = materialize(extract(docs, pieces.join(many, "anchor"), window, small=False), "piece-words")
-
-    # windows of hot pieces: those in two documents or more are pieces of one window
-    spread = taken.filter("hot")
-    again = spread.groupBy("w1", "w2").agg(F.min("lo").alias("doc"), F.max("hi").alias("hi"), F.min_by("start", "lo").alias("start")).filter("doc != hi")
-    again = materialize(again.select("doc", "start", F.lit(1).cast("long").alias("windows"), F.lit(False).alias("hot"), F.col("w1").alias("anchor"), F.col("w2").alias("piece"), "hi"), "hot-windows")
-    single = extract(docs, again, window, small=again.count() <= MAX_BROADCAST_ROWS)
+    taken = materialize(extract(docs, pieces.join(many, "anchor"), window), "piece-words")
+    discard(pieces, many)
 
-    columns = ["anchor", "piece", "lo", "hi", "text", "windows"]
-    stream = materialize(taken.filter("not hot").select(*columns, F.lit(False).alias("one")).unionAll(single.select(*columns, F.lit(True).alias("one"))), "shards")
-    words = stream.agg(F.coalesce(F.sum(F.col("windows") + window - 1), F.lit(0))).first()[0]
+    columns = ["anchor", "piece", "lo", "hi", "text"]
+    words = taken.filter("not hot").agg(F.coalesce(F.sum(F.col("windows") + window - 1), F.lit(0))).first()[0]
     shards = max(1, -(-words // shard_words))
-    dealt = stream.select(F.pmod(F.xxhash64("anchor", F.when(F.col("one"), F.col("piece"))), F.lit(shards)).alias("shard"), "anchor", "piece", "lo", "hi", "text")
+    dealt = taken.filter("not hot").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *columns)
     found = materialize(dealt.groupBy("shard").applyInArrow(lambda t: shard_index(t, window), FOUND), "found")
 
-    of_one = spread.select(F.col("anchor").alias("a"), F.col("piece").alias("p"), "offset", F.col("w1").alias("anchor"), F.col("w2").alias("piece")).join(found, ["anchor", "piece"])
-    of_hot = of_one.select(F.col("a").alias("anchor"), F.col("p").alias("piece"), F.struct("offset", F.lit(1).cast("long").alias("n"), F.col("found")[0]["lo"].alias("lo")).alias("x")).groupBy("anchor", "piece").agg(F.collect_list("x").alias("found"))
+    # windows of hot pieces: the smallest document of each that stands in two or more;
+    # written first, so that the join can split a window that stands in many
+    spread = taken.filter("hot")
+    again = spread.groupBy("w1", "w2").agg(F.min("lo").alias("doc"), F.max("hi").alias("last")).filter("doc != last")
+    again = materialize(again.select("w1", "w2", "doc"), "hot-windows")
+    # a piece has at most window - GRAM + 1 windows
+    of_hot = spread.join(again, ["w1", "w2"]).groupBy("anchor", "piece").agg(F.collect_list(F.struct("offset", F.lit(1).cast("long").alias("n"), F.col("doc").alias("lo"))).alias("found"))
     verdicts = found.unionByName(of_hot)
     hits = held.join(verdicts, ["anchor", "piece"])
     mine = F.filter("found", lambda x: x["lo"] < F.col("doc_id"))

@@ -636,18 +636,54 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot,shard", [(64, 400_000), (1, 500)])
-def test_repeated_windows(spark, docs, nothing, hot, shard):
-    want = brute_repeats(by_id(docs), 50)
-    got = substrings.remove_repeats(docs, hot_pieces=hot, shard_words=shard).collect()
+@pytest.mark.parametrize("hot,shard,window", [(2048, 400_000, 50), (1, 500, 50), (3, 2000, 8), (2048, 400_000, 70)])
+def test_repeated_windows(spark, docs, nothing, hot, shard, window):
+    want = brute_repeats(by_id(docs), window)
+    got = substrings.remove_repeats(docs, window=window, hot_pieces=hot, shard_words=shard).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
     assert any(n for _, n, _ in want.values())
+    if shard < 400_000:
+        return
     assert substrings.remove_repeats(nothing).count() == 0
     odd = spark.createDataFrame([(None, " ".join("abcde" * 20)), (7, " ".join("abcde" * 20)), (7, " ".join("abcde" * 20))], "doc_id long, text string")
     assert {r.n_removed for r in substrings.remove_repeats(odd).collect()} == {0}
 
 
+def test_search_against_earlier_pieces_decides():
+    """Pieces with one anchor that share windows only in part: what a piece holds of an
+    earlier one shows only in the matching statistics, which restart where they differ."""
+    import pyarrow as pa
+
+    rng, window = random.Random(12), 12
+    common, pieces = [f"c{i}" for i in range(30)], []
+    for k in range(40):
+        a, b = sorted(rng.sample(range(31), 2))
+        text = [f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 6))] + common[a:b] + [f"w{rng.randrange(30)}" for _ in range(rng.randint(12, 20))]
+        pieces.append((5, k, 100 - k, 200 - k, " ".join(text)))
+    restarts, statistics = [], fmindex.FMIndex.statistics
+
+    def counted(self, *args):
+        yield from statistics(self, *args)
+        restarts.append(self.restarts)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fmindex.FMIndex, "statistics", counted)
+        table = pa.table(dict(zip(("anchor", "piece", "lo", "hi", "text"), map(list, zip(*pieces)), strict=True)))
+        found = substrings.shard_index(table, window).to_pylist()
+    got = {(r["piece"], x["offset"] + i): x["lo"] for r in found for x in r["found"] for i in range(x["n"])}
+    want, earlier = {}, 0
+    for _, k, lo, _, text in pieces:
+        w = text.split()
+        for i in range(len(w) - window + 1):
+            part = " ".join(w[i : i + window])
+            want[k, i] = min(p[2] for p in pieces if f" {part} " in f" {p[4]} ")
+            earlier += want[k, i] < lo
+    assert got == want and earlier > 20 and sum(restarts) > 100 and len(restarts) == 6
+    with pytest.raises(ValueError):
+        fmindex.FMIndex([np.array([1, 2])], 3, 20).classes(21)
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(9)
     pieces = [rng.integers(1, 5, rng.integers(1, 120)) for _ in range(30)]

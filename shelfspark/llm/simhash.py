@@ -15,7 +15,8 @@ takes 33 rows a member, however many there are.
 Equal fingerprints are one node from the start. Null text, or one without a
 word, has fingerprint zero, which is linked like any other. Rows with equal
 doc_ids are kept; a null doc_id gets a component but never names one, except
-that of a group with no other. An empty table gives an empty table.
+that of a group with no other. A text of any length counts whole, in stretches
+of 32,768 shingles. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
-from .tokenize import release
+from .substrings import Words, finish, rolled
+from .tokenize import in_chunks, release
 
 #: Fixed value: the seed of the shingles' XXH64.
 SEED = 42
@@ -251,8 +254,8 @@ def hexed(fp: Column) -> Column:
 #: similarity of 0.8 (a cosine of 8/9) differ in 19.5 on average, give or take four.
 NEAR_BITS = 21
 
-#: Bits up to which the first round's buckets hold all pairs.
-FIRST_REACH = 7
+#: Most rows of a bucket that are compared with each other in one task.
+PART_ROWS = 4096
 
 #: Texts from whose shingles the common ones are told, and most shingles so told.
 SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
@@ -266,55 +269,55 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for b in batches:
-            out = np.zeros((b.num_rows, 3), np.int64)
-            for i, t in enumerate(b.column("text")):
-                h = _digests(t.as_py(), shingle)
-                out[i, 0] = np.uint64(xxh64_intdigest(_ids(h).tobytes(), SEED)).astype(np.int64)
-                ones = np.zeros(128, np.int64)
-                for a in range(0, len(h), 1 << 15):
-                    ones += np.unpackbits(h[a : a + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[i, 1:] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in out.T), b.column("text_hash")], names)
+        for batch in batches:
+            for b in in_chunks(batch):
+                out = np.zeros((b.num_rows, 3), np.int64)
+                for i, ids in enumerate(shingle_sets(b.column("text"), shingle)):
+                    out[i, 0] = np.uint64(xxh64_intdigest(ids.tobytes(), SEED)).astype(np.int64)
+                    ones = np.zeros(128, np.int64)
+                    for a in range(0, len(ids), 1 << 15):
+                        h = ids[a : a + (1 << 15)].view(np.uint64)
+                        both = np.stack([finish(h), finish(h ^ np.uint64(SEED))], axis=1).astype("<u8").view(np.uint8)
+                        ones += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    out[i, 1:] = np.packbits(2 * ones > len(ids), bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in out.T), b.column("text_hash")], names)
         release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _digests(text: str | None, shingle: int) -> np.ndarray:
-    """XXH128 of each distinct shingle, sixteen bytes a row; a short text is one shingle."""
-    from xxhash import xxh128_digest
-
-    tokens = text.encode().lower().split() if text else []
-    if len(tokens) < shingle:
-        distinct = {b" ".join(tokens)} if tokens else set()
-    else:
-        distinct = set(map(b" ".join, zip(*(tokens[k:] for k in range(shingle)))))
-    return np.frombuffer(b"".join(map(xxh128_digest, distinct, repeat(SEED))), np.uint8).reshape(-1, 16)
-
-
-def _ids(digests: np.ndarray) -> np.ndarray:
-    """The set of shingles as sorted 64-bit numbers."""
-    return np.unique(digests.view("<i8")[:, 0])
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The set of each text's shingles as sorted 64-bit hashes; a short text is one shingle."""
+    words = Words(pc.ascii_lower(texts))
+    grams = rolled(words.hash, shingle).view(np.int64)
+    for a, b in zip(words.bounds[:-1], words.bounds[1:]):
+        if b - a >= shingle:
+            yield np.unique(grams[a : b - shingle + 1])
+        else:
+            yield rolled(words.hash[a:b], b - a).view(np.int64) if b > a else np.zeros(0, np.int64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """Columns of whole buckets, from batches that are sorted by their first column."""
-    kept: list[np.ndarray] | None = None
+    kept: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if not len(cols[0]):
             continue
-        if kept is not None:
-            cols = [np.concatenate([k, c]) for k, c in zip(kept, cols)]
         last = np.flatnonzero(cols[0] != cols[0][-1])
         cut = last[-1] + 1 if len(last) else 0
-        kept = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if kept is not None:
-        yield kept
+        if kept and (cut or kept[-1][0][-1] != cols[0][0]):
+            # the bucket that was open ends here
+            done = [np.concatenate(x) for x in zip(*kept, [c[:cut] for c in cols], strict=True)]
+            kept = [[c[cut:] for c in cols]]
+            yield done
+        else:
+            if cut:
+                yield [c[:cut] for c in cols]
+            kept.append([c[cut:] for c in cols])
+    if kept:
+        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
 
 def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
@@ -338,20 +341,30 @@ def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np
         yield np.stack([order[i[i < j]], order[j[i < j]]])
 
 
-def first_pairs(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
+def first_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, fp, fp2) of at most ``distance`` differing bits
-    that share a segment; a large bucket gives a forest of them."""
-    entries = [key.bitwiseOR(F.lit(s << 56).cast("long")) for s, key, _ in _entries(FIRST_REACH, 2, segments)]
-    names = ["key", "node", "fp", "fp2"]
+    that share 32 bits in a row (of eight such stretches): a forest of them.
+
+    A stretch of 32 bits keeps the buckets of unlike texts small at any number of
+    rows. A large bucket, of copies, is dealt in parts, each with the bucket's
+    smallest member, so no task holds one whole."""
+    quarter = [F.shiftrightunsigned(F.col(c), 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) for c in WORDS[2] for i in range(4)]
+    keys = [quarter[s].bitwiseOR(F.shiftleft(quarter[(s + 1) % 8], 16)).bitwiseOR(F.lit(s << 56).cast("long")) for s in range(8)]
+    entries = nodes.select("node", "fp", "fp2", F.explode(F.array(*keys)).alias("key"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "fp2")).alias("head")).filter("n > 1")
+    shared = entries.join(materialize(sizes, "buckets"), "key")
+    part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART_ROWS)))
+    names = ["key", "node", "fp", "fp2", "h", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, fp2 in _runs(batches, names):
+        for key, *cols in _runs(batches, names):
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(new, len(key)))
-            yield _named(node, _ball_links(np.stack([fp, fp2], axis=1), np.ones(len(key), bool), new[size > 1], size[size > 1], distance))
+            node, fp, fp2 = (np.insert(x, new, h[new]) for x, h in zip(cols[:3], cols[3:], strict=True))
+            size = np.diff(np.append(new, len(key))) + 1
+            yield _named(node, _ball_links(np.stack([fp, fp2], axis=1), np.ones(len(node), bool), np.cumsum(size) - size, size, distance))
         release()
 
-    return _dealt(nodes.select("node", "fp", "fp2", F.explode(F.array(*entries)).alias("key")).select(*names), run)
+    return _dealt(shared.select(part.alias("key"), "node", "fp", "fp2", F.col("head.node").alias("h"), F.col("head.fp").alias("h1"), F.col("head.fp2").alias("h2")), run)
 
 
 def _named(node: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
@@ -367,9 +380,9 @@ def _common(docs: DataFrame, nodes: int, shingle: int) -> np.ndarray:
     """Shingles of three or more texts of a sample, the most common last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(_digests(t.as_py(), shingle)))], ["id"])
+        for batch in batches:
+            for b in in_chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(b.column("text"), shingle))))], ["id"])
 
     hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(F.pmod("text_hash", F.lit(max(1, nodes // SAMPLE_TEXTS))) == 0)
     texts = hashed.groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
@@ -378,31 +391,36 @@ def _common(docs: DataFrame, nodes: int, shingle: int) -> np.ndarray:
     return top.column("id").to_numpy()[::-1].copy()
 
 
-def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: int) -> DataFrame:
+def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: int, part_rows: int = PART_ROWS) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, root, text_hash) with different roots, among them
     all that have a similarity of 0.8 or more.
 
     Two sets with that similarity share one of the first n - ceil(0.8 n) + 1 of
     each one's n members, in any order that is the same for all sets. Here
-    ``common`` shingles come last, so that a shared passage seldom makes a pair."""
+    ``common`` shingles come last, so that a shared passage seldom makes a pair.
+    A bucket of more than ``part_rows`` rows is cut in parts, and each pair of
+    parts is a unit of work of its own."""
     names, place = ["key", "node", "root", "n", "at"], np.argsort(common)
     ids_sorted = common[place]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t, node, root in zip(b.column("text"), b.column("node"), b.column("root")):
-                ids = _ids(_digests(t.as_py(), shingle))
-                n = len(ids)
-                if not n:
-                    continue
-                rank = np.zeros(n, np.int64)
-                if len(common):
-                    k = np.minimum(np.searchsorted(ids_sorted, ids), len(common) - 1)
-                    rank = np.where(ids_sorted[k] == ids, place[k] + 1, 0)
-                first = ids[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
-                m = len(first)
-                cols = (first, np.full(m, node.as_py()), np.full(m, root.as_py()), np.full(m, n), np.arange(m))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        for batch in batches:
+            for b in in_chunks(batch):
+                out, size, many = [], [], []
+                for ids in shingle_sets(b.column("text"), shingle):
+                    n = len(ids)
+                    rank = np.zeros(n, np.int64)
+                    if len(common):
+                        k = np.minimum(np.searchsorted(ids_sorted, ids), len(common) - 1)
+                        rank = np.where(ids_sorted[k] == ids, place[k] + 1, 0)
+                    first = ids[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]] if n else ids
+                    out.append(first)
+                    size.append(n)
+                    many.append(len(first))
+                if sum(many):
+                    each = [np.repeat(x, many) for x in (b.column("node").to_numpy(), b.column("root").to_numpy(), np.array(size))]
+                    at = np.arange(sum(many)) - np.repeat(np.cumsum(many) - many, many)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(out), *each, at)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, root, n, at in _runs(batches, names):
@@ -414,7 +432,15 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
             yield _named(node, found)
         release()
 
-    return _dealt(_texts(docs, nodes, "root").mapInArrow(prefixes, ", ".join(f"{c} long" for c in names)), run)
+    entries = materialize(_texts(docs, nodes, "root").mapInArrow(prefixes, ", ".join(f"{c} long" for c in names)), "rare-shingles")
+    hot = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > part_rows), "hot-shingles")
+    parts = F.ceil(F.col("rows") / part_rows)
+    mine = F.pmod(F.xxhash64("node"), parts)
+    cut = entries.join(hot, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = cut.withColumn("key", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other"))).select(*names)
+    pairs = materialize(_dealt(entries.join(hot, "key", "left_anti").unionAll(cut), run), "candidates")
+    discard(entries, hot)
+    return pairs
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
@@ -428,9 +454,12 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_ids(_digests(t.as_py(), shingle)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "ids"])
+        for batch in batches:
+            for b in in_chunks(batch):
+                sets = list(shingle_sets(b.column("text"), shingle))
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "ids"])
         release()
 
     sets = materialize(_texts(docs, nodes.join(used, "node", "left_semi")).mapInArrow(run, "node long, ids array<long>"), "shingle-sets")
@@ -440,7 +469,7 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -
     return materialize(both.filter(9 * common >= 4 * total).select("a", "b"), "similar")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS, segments: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id (a null
     one only where there is no other), and one of equal rows. Columns are kept.
 
@@ -448,13 +477,16 @@ def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS, se
     0.8 or more: all such pairs, and no other. A first round takes candidates of at
     most ``distance`` bits from 128-bit fingerprints and judges them, so that the
     second, which finds all that are left by their rare shingles, need not pair a
-    large group's members with each other."""
+    large group's members with each other.
+
+    Null texts and those without a word are one group. A text of any length counts
+    whole. Shingles are compared by 64-bit hashes."""
     rows = materialize(shingled(docs.select("doc_id", "text"), shingle), "fingerprints")
     nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("text_hash").alias("text_hash")), "shingle-nodes")
-    links = similar(docs, nodes, materialize(first_pairs(nodes, distance, segments), "candidates"), shingle)
+    links = similar(docs, nodes, materialize(first_pairs(nodes, distance), "candidates"), shingle)
     placed = materialize(nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     common = _common(docs, nodes.count(), shingle)
-    left = materialize(rare_pairs(docs, placed, common, shingle), "candidates")
+    left = rare_pairs(docs, placed, common, shingle)
     roots = connected_components(links.unionAll(similar(docs, nodes, left, shingle)))
     of = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r"))

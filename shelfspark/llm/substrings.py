@@ -58,7 +58,7 @@ _PLACES = 21  # bits of a word's place beside its hash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _finish(h: np.ndarray) -> np.ndarray:
+def finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -98,10 +98,10 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
                 done, size = power, width
             else:
                 m = min(len(done), len(power) - size)
-                done, size = _finish(done[:m] * _MIX + power[size : size + m] + np.uint64(size)), size + width
+                done, size = finish(done[:m] * _MIX + power[size : size + m] + np.uint64(size)), size + width
         bit >>= 1
         if bit:
-            power = _finish(power[:-width] * _MIX + power[width:] + np.uint64(width))
+            power = finish(power[:-width] * _MIX + power[width:] + np.uint64(width))
             width *= 2
     return done[: len(h) - n + 1]
 
@@ -165,11 +165,11 @@ class Prefix:
 
     def __init__(self, h: np.ndarray):
         self.back = _inverse(len(h) + 1)
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(len(h)), dtype=np.uint64)]) for x in (_finish(h), _finish(h + _MIX))]
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(len(h)), dtype=np.uint64)]) for x in (finish(h), finish(h + _MIX))]
 
     def hash(self, start: np.ndarray, n: np.ndarray, which: int = 0) -> np.ndarray:
         s = self.sums[which]
-        return _finish((s[start + n] - s[start]) * self.back[start] + n.astype(np.uint64)).view(np.int64)
+        return finish((s[start + n] - s[start]) * self.back[start] + n.astype(np.uint64)).view(np.int64)
 
 
 RUNS = "doc_id long, start long, windows long, anchor long, piece long"

@@ -6,12 +6,16 @@ n-grams; a linear layer and a softmax follow. Table and layer are trained
 together by stochastic gradient descent in numpy, on a bounded sample. As all is
 linear up to the softmax, a word's part is one short row, found once a word.
 
-A tenth of the sample is held back to calibrate: the temperature that makes its
-likelihood highest, and the score under which a prediction is rejected.
+A tenth of the sample is held back to calibrate the scores: the temperature that
+makes the likelihood of its labels highest, with one right and one wrong label
+added to what was seen, as a sample without an error says nothing of how sure
+to be. A score is then the chance of being right, and a prediction that is more
+likely wrong than right (``reject_below``) is rejected.
 
 The label of a text that is null or has no letter is ``und`` with score 0. A
 training row needs a text with a letter and a label; with no such row, all is
 ``und``. Repeated rows train and predict one by one; extra columns are ignored.
+A text of any length is scored whole; only training looks at parts of texts.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and sizes of the model; the sample's bound is rows x characters."""
+    """Bounds and sizes of the model; the sample's bound is rows x characters. In
+    each pass a training text counts with at most ``words_a_step`` words, drawn anew."""
 
     sample_rows: int = 6000
     sample_chars: int = 20_000
@@ -43,8 +48,7 @@ class Settings:
     words_a_step: int = 80
     batch: int = 64
     rate: float = 6.0
-    reject_share: float = 0.001
-    reject_most: float = 0.5
+    reject_below: float = 0.5
     seed: int = 7
 
 
@@ -130,6 +134,24 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: Temperatures that are tried.
+TEMPERATURES = np.geomspace(1e-3, 1e2, 251)
+
+
+def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of highest likelihood, one right and one wrong label added."""
+    n, k = logits.shape
+    goal = np.full((n, k), 1 / (n + 2) / max(1, k - 1))
+    goal[np.arange(n), truth] = (n + 1) / (n + 2)
+
+    def loss(t: float) -> float:
+        x = logits / t
+        x = x - x.max(axis=1, keepdims=True)
+        return float((goal * (np.log(np.exp(x).sum(axis=1, keepdims=True)) - x)).sum())
+
+    return float(min(TEMPERATURES, key=loss))
+
+
 def train(texts: list[str], langs: list[str], s: Settings) -> Model | None:
     """Fit, then calibrate on each tenth row. Rows come in an order of their own."""
     rows = [(t, y) for t, y in zip(texts, langs, strict=True) if y is not None and has_letter(t)]
@@ -169,10 +191,8 @@ def train(texts: list[str], langs: list[str], s: Settings) -> Model | None:
     if held.any() and k > 1:
         kept = pa.array([rows[i][0] for i in np.flatnonzero(held)])
         logits, truth = np.log(np.maximum(model.scores(kept), 1e-300)), y[held]
-        best = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean())
-        model.temperature = float(best)
-        top = softmax(logits / best).max(axis=1)
-        model.threshold = float(min(s.reject_most, np.quantile(top, s.reject_share)))
+        model.temperature = calibrated(logits, truth)
+        model.threshold = s.reject_below
     return model
 
 

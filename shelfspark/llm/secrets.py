@@ -8,8 +8,9 @@ all paths. So a blob is scanned once per rule version, however many paths and
 versions hold it and however often the scan is repeated.
 
 All of it is built-in functions. Places of matches come from splitting a text
-at a rule's matches: lengths of the parts and of the matches, added up, are the
-places, in code points.
+at a rule's matches: lengths of the parts and of the matches, added up over the
+matches as rows, are the places, in code points. A text of any length, with any
+number of matches, is scanned whole.
 
 Equal rows are paths of their own and each get the findings; a null path is
 kept; an empty table gives an empty table; other columns are ignored.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import exists, scratch_path
@@ -28,56 +29,60 @@ from .common import exists, scratch_path
 @dataclass(frozen=True)
 class Rule:
     """Leftmost matches that do not overlap; those whose measured part is
-    shorter than ``least`` are dropped. ``group`` is the measured part."""
+    shorter than ``least`` are dropped. ``group`` is the measured part.
+
+    ``long``, if given, matches just those of the pattern's matches that are long
+    enough, which saves listing the others."""
 
     kind: str
     pattern: str
     group: int
     least: int
+    long: str | None = None
 
 
 #: The base rules, in the order in which kinds are listed.
 RULES = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32,}"),
 )
 RULE_VERSION = "base-1"
 
 LEDGER = "blob string, rule_version string, spans array<struct<start:long,kind:int,end:long>>"
 
 
-def _sound(rule: Rule) -> str:
-    """A pattern that matches in a text if and only if the rule may find something.
-
-    For a rule whose whole match is measured and is one run of a class, the
-    length stands in the pattern; the finding itself still takes the rule's own."""
-    return rule.pattern[:-1] + "{%d,}" % (rule.least if rule.kind == "hex" else rule.least - 4) if rule.group == 0 else rule.pattern
+MATCH = "array<struct<kind:int,gap:int,n:int,size:int>>"
+SPANS = "array<struct<start:long,kind:int,end:long>>"
 
 
-def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All findings of a text in order of start, then of the rules: (start, kind, end)."""
+def matches(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All matches of all rules: the rule's number, the characters between the match
+    and the one before it, its length and that of its measured part."""
     found = []
     for k, rule in enumerate(rules):
-        # a run that is long enough is a whole match of the rule's own pattern
-        pattern = _sound(rule)
-        between = F.split(text, pattern, -1)
+        pattern = rule.long or rule.pattern
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,size:int>>").alias("out"))
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
+        rows = F.zip_with(between, F.arrays_zip(whole.alias("w"), part.alias("p")), lambda gap, m: F.struct(F.lit(k).alias("kind"), F.length(gap).alias("gap"), F.length(m["w"]).alias("n"), F.length(m["p"]).alias("size")))
+        found.append(F.when(F.rlike(text, F.lit(pattern)), rows.cast(MATCH)).otherwise(F.array().cast(MATCH)))
+    return F.concat(*found)
+
 
-        def step(acc, x):
-            start = acc["at"] + x["gap"]
-            end = start + x["n"]
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["size"].alias("size")))).alias("out"))
+def spans(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) for each row of ``blobs`` (blob, content; distinct): all findings in
+    order of start, then of the rules: (start, kind, end).
 
-        sizes = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), part.alias("p")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["w"]).alias("n"), F.length(m["p"]).alias("size")))
-        listed = F.aggregate(sizes, zero, step)["out"]
-        good = F.filter(listed, lambda x: x["size"] >= rule.least)
-        rows = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-        none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-        found.append(F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(none))
-    return F.array_sort(F.concat(*found))
+    Places are running sums over a blob's matches as rows, so any number of them
+    in one text takes time in proportion."""
+    rows = blobs.select("blob", F.posexplode_outer(matches(F.col("content"), rules)).alias("pos", "m")).select("blob", "pos", "m.*")
+    upto = Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap").cast("long") + F.col("n")).over(upto)
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
+    placed = rows.select("blob", "kind", "n", (F.col("size") >= least).alias("good"), end.alias("end"))
+    span = F.when(F.col("good"), F.struct((F.col("end") - F.col("n")).alias("start"), "kind", "end"))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
 def named(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -97,9 +102,9 @@ def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: st
         known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).select("blob").distinct()
         blobs = blobs.join(known, "blob", "left_anti")
     unseen = blobs.groupBy("blob").agg(F.first("content").alias("content"))
-    found = unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans(F.col("content"), rules).alias("spans"))
+    found = spans(unseen, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     found.write.mode("append").option("compression", "zstd").parquet(ledger)
     findings = spark.read.schema(LEDGER).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     paths = versions.select(F.col(path), F.sha2(content, 256).alias("blob"))
-    none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+    none = F.array().cast(SPANS)
     return paths.join(findings, "blob", "left").select(F.col(path), "blob", F.coalesce("spans", none).alias("spans"))

@@ -107,9 +107,29 @@ def test_secret_spans_and_ledger(spark, docs, tmp_path):
     assert secrets.scan(docs, path="doc_id").count() == docs.count()
 
 
+def test_rules_of_any_form_and_many_matches(spark):
+    rules = (secrets.Rule("live", r"sk_live_[a-z]+", 0, 16), secrets.Rule("quoted", r"'([a-z]*)'", 1, 3))
+    many = "é" + "token=abcdefgh1 x" * 100_000 + "f" * 40  # over a megabyte
+    rows = [(0, "sk_live_abcdefgh sk_live_abc 'ab' 'abc'"), (1, many), (2, "'" + "z" * 2_000_000 + "'")]
+    versions = spark.createDataFrame(rows, "path long, text string")
+    got = {r.path: r.s for r in secrets.scan(versions, rules=rules, rule_version="own").select("path", secrets.named(F.col("spans"), rules).alias("s")).collect()}
+    assert got == {0: "live:0:16,quoted:34:39", 1: "", 2: "quoted:0:2000002"}
+    base = {r.path: r.s for r in secrets.scan(versions).select("path", secrets.named(F.col("spans")).alias("s")).collect()}
+    assert base[1] == brute_spans(many) and base[0] == base[2] == ""
+
+
 # 2
 
 
+def test_fingerprint_of_a_long_text(docs):
+    rng, words = random.Random(4), vocabulary(200)
+    text = " ".join(rng.choice(words) for _ in range(70_000))
+    w = text.split(" ")
+    h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)], np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    assert simhash.fingerprint(text, 3)[0] % (1 << 64) == want
+
+
 def brute_fingerprint(text, k):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
@@ -214,29 +234,36 @@ def test_components_of_chains_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_wide_fingerprint(text, k):
-    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
-    h = [int.from_bytes(xxhash.xxh128_digest(x.encode(), 42), "little") for x in s]
-    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def in_reach(a, b, distance):
-    """Within the distance, and one bit or none apart in one of the eight segments."""
-    x = a ^ b
-    parts = [x >> 16 * i & 0xFFFF for i in range(8)]
-    return x.bit_count() <= distance and min(p.bit_count() for p in parts) <= 1
-
-
 def test_one_of_each_group_stays(docs, nothing):
-    fp = {k: brute_wide_fingerprint(t, 5) for k, t in by_id(docs).items()}
-    groups = brute_components(list(fp.items()), lambda a, b: in_reach(a, b, simhash.NEAR_BITS))
+    sets = [(k, shingle_set(t)) for k, t in by_id(docs).items()]
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(set(groups.values()))
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(set(brute_components(sets, alike).values()))
     assert simhash.deduplicate(nothing).count() == 0
 
 
+def test_large_buckets_are_dealt_in_parts(spark, monkeypatch):
+    """Both rounds with parts of a few rows find what they find with whole buckets."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 7)
+    rng, words = random.Random(5), vocabulary(500, 3)
+    texts = []
+    for size in (120, 60):
+        body = [rng.choice(words) for _ in range(size)]
+        for _ in range(60):
+            copy = list(body)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [(i, shingle_set(t)) for i, t in enumerate(texts)]
+    want = sorted(set(brute_components(sets, alike).values()))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == want and 2 < len(want) < 100
+    rows = simhash.shingled(docs, 5)
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("text_hash").alias("text_hash")).withColumn("root", F.col("node"))
+    pairs = [{tuple(r) for r in simhash.rare_pairs(docs, nodes, np.zeros(0, np.int64), 5, part).collect()} for part in (7, 4096)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_edited_copies_go_and_others_stay(spark):
     rng, words = random.Random(31), vocabulary(3000, 5)
     rows, originals = [], 60
@@ -575,9 +602,50 @@ def test_line_dedup(docs, nothing, sites):
     assert linededup.remove_spread_lines(nothing).count() == 0
 
 
+def test_many_lines_in_one_text(spark):
+    boiler = [f"boiler {i}" for i in range(3000)]
+    rows = [(i, "\n".join([*boiler, *(f"own {i} {j}" for j in range(30_000 if i == 5 else 1))]), f"s{i}") for i in range(6)] + [(9, "", "s1"), (10, None, "s1")]
+    out = {r.doc_id: r for r in linededup.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=3).collect()}
+    assert out[0].text == rows[0][1] and all(out[i].n_removed == 3000 for i in range(1, 6))
+    assert out[5].text == "\n".join(f"own 5 {j}" for j in range(30_000)) and out[9].text == "" and out[10].text is None
+
+
 # 9
 
 
+def test_scores_are_those_of_a_plain_loop(spark):
+    model = langid.fit(language_docs(spark, 300))
+    s = model.settings
+    texts = ["Aeiou RST", "<odd> a<b", "  ", "ñandú über 12 x", "é" * 50, "one\u3000two\x1fthree"]
+
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = ((h ^ c) * 16777619 + n) % 2**32
+        h = (h ^ h >> 15) * 2246822519 % 2**32
+        return (h ^ h >> 13) % s.buckets
+
+    for text, got in zip(texts, model.scores(langid.pa.array(texts)), strict=True):
+        ids = []
+        for w in text.lower().split():
+            w = f"<{w}>".encode()
+            ids += [bucket(w[i : i + n]) for n in s.orders for i in range(len(w) - n + 1)]
+        mean = np.mean([model.table[i].astype(float) for i in ids], axis=0) if ids else 0
+        assert np.allclose(got, langid.softmax((np.zeros((1, 3)) + mean + model.bias) / model.temperature)[0], atol=1e-9)
+
+
+def test_calibration_is_inside_its_grid(spark):
+    model = langid.fit(language_docs(spark))
+    assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1] and model.threshold == 0.5
+    rng = np.random.default_rng(3)
+    logits, true_t = rng.normal(0, 4, (4000, 3)), 2.5
+    p = langid.softmax(logits / true_t)
+    truth = np.array([rng.choice(3, p=x) for x in p])
+    assert langid.calibrated(logits, truth) == pytest.approx(true_t, rel=0.1)
+    perfect = np.eye(3)[np.arange(200) % 3] * 3
+    assert langid.TEMPERATURES[0] < langid.calibrated(perfect, np.arange(200) % 3) < langid.TEMPERATURES[-1]
+
+
 def language_docs(spark, n=600):
     rng = random.Random(8)
     kinds = {"xx": "aeiou", "yy": "bcdfg", "zz": "éñüöß"}

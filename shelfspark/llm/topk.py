@@ -4,7 +4,7 @@ A node is a ball: centre and radius of its vectors. No vector in it can score
 more than ``q . centre + |q| radius``. Nodes are taken in the order of that bound
 (the largest that any query of the block has), each query leaves a node whose
 bound is under its kth score so far, and that score starts at what the query's
-home shard gave. Ties are kept open: a bound that equals the kth score stays.
+first shard gave. Ties are kept open: a bound that equals the kth score stays.
 
 Components are whole numbers, floor(64 x), so scores are exact in doubles as
 long as they stay under 2**53; larger ones are computed in 64-bit integers.
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import Best, search, valid
+from .vectors import QUERY_ROWS, SHARD_ROWS, Best, Searcher, search, valid
 
 LEAF = 128
 
@@ -34,6 +34,19 @@ class BallTree:
     ranges: list[tuple[int, int]]
     children: list[tuple[int, int] | None]
 
+    def dump(self) -> bytes:
+        """The nodes, without ids and vectors: leaves have no children."""
+        sides = [c or (-1, -1) for c in self.children]
+        return b"".join([np.int64(len(sides)).tobytes(), np.array(sides, "<i8").tobytes(), np.array(self.ranges, "<i8").tobytes(), self.radii.astype("<f8").tobytes(), self.centres.astype("<f8").tobytes()])
+
+    @classmethod
+    def load(cls, ids: np.ndarray, vectors: np.ndarray, data) -> BallTree:
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        whole = np.frombuffer(data, "<i8", 4 * n, 8).reshape(2, n, 2)
+        real = np.frombuffer(data, "<f8", -1, 8 + 32 * n)
+        sides = [tuple(c) if c[0] >= 0 else None for c in whole[0].tolist()]
+        return cls(ids, vectors, real[n:].reshape(n, -1), real[:n], [tuple(r) for r in whole[1].tolist()], sides)
+
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> BallTree:
         order = np.arange(len(ids))
@@ -97,8 +110,17 @@ def find(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k:
     return best
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
+def _build(ids: np.ndarray, vectors: np.ndarray):
+    tree = BallTree.build(ids, vectors)
+    return tree.ids, tree.vectors, tree.dump()
+
+
+def _find(ids: np.ndarray, vectors: np.ndarray, index, *query) -> Best:
+    return find(BallTree.load(ids, vectors, index), *query)
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) with whole scores over floor(scale * x)."""
     kept = valid(rows, vec_id, vector, lambda x: F.floor(x * scale).cast("double"))
-    out = search(kept, is_query, k, BallTree.build, find)
+    out = search(kept, is_query, k, Searcher(_build, _find), shard_rows, query_rows)
     return out.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shelfspark.llm import ann, components, fmindex, langid, linededup, mixing, packing, secrets, simhash, substrings, tokenfile, topk
+from shelfspark.llm import vectors as vectors_
 from shelfspark.llm.tokenize import CachedEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -535,10 +536,14 @@ def brute_top(v, k, score):
     return {q: x for q, x in out.items() if x}
 
 
-def test_exact_topk(vectors, monkeypatch):
+SHARDS = [(8192, 1024), (40, 7)]  # one shard, and many for small blocks of queries
+
+
+@pytest.mark.parametrize("shard_rows,query_rows", SHARDS)
+def test_exact_topk(vectors, shard_rows, query_rows):
     v = {k: np.floor(64 * x) for k, x in valid_vectors(vectors).items()}
     want = brute_top(v, 20, lambda a, b: int(a @ b))
-    out = topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+    out = topk.top_k(vectors, F.col("vec_id") % 20 == 0, shard_rows=shard_rows, query_rows=query_rows)
     got = defaultdict(list)
     for r in sorted(out.collect(), key=lambda r: r["rank"]):
         got[r.query_id].append((r.vec_id, r.score))
@@ -557,11 +562,12 @@ def test_ball_tree_prunes_and_stays_exact():
         assert list(zip(best.ids[row], best.scores[row])) == [(j, -a) for a, j in s]
 
 
-def test_one_bit_codes_find_the_nearest(vectors):
+@pytest.mark.parametrize("shard_rows,query_rows", SHARDS)
+def test_one_bit_codes_find_the_nearest(vectors, shard_rows, query_rows):
     v = valid_vectors(vectors, zero=False)
     want = brute_top(v, 20, lambda a, b: sum(x * y for x, y in zip(a.tolist(), b.tolist())))
     got = defaultdict(list)
-    for r in sorted(ann.nearest(vectors, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+    for r in sorted(ann.nearest(vectors, F.col("vec_id") % 20 == 0, shard_rows=shard_rows, query_rows=query_rows).collect(), key=lambda r: r["rank"]):
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == set(want)
     hit = sum(len({c for c, _ in got[q]} & {c for c, _ in want[q]}) for q in want)
@@ -574,10 +580,34 @@ def test_one_bit_codes_find_the_nearest(vectors):
 def test_error_bound_holds_mostly():
     rng = np.random.default_rng(6)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(50, 64))
-    codes = ann.Codes.build(np.arange(500), x)
-    best = ann.find(codes, np.arange(-50, 0), q, np.full(50, -np.inf), 20)
+    codes = ann.Codes.load(500, 64, ann.Codes.build(x).dump())
+    estimate, slack = codes.guess(q)
+    assert (np.abs(estimate - q @ x.T) <= slack).mean() > 0.97 and np.median(slack) < 0.35 * 8 * 8
+    signs = np.where(((x - x.mean(axis=0)) @ ann.rotation(64).T) > 0, 1, -1)
+    plain = (q @ codes.centre)[:, None] + (q @ ann.rotation(64).T) @ signs.T / 8 * (codes.length / codes.fit)[None, :]
+    assert np.abs(estimate - plain).max() < 0.1 * np.abs(plain).max()  # but for the rounding of the query
+    ids, least = np.arange(500), np.full(50, -np.inf)
     true = np.sort(q @ x.T, axis=1)[:, ::-1][:, :20]
-    assert np.isclose(np.sort(best.scores, axis=1)[:, ::-1], true).mean() > 0.98
+    for best in (ann.find(codes, ids, x, np.arange(-50, 0), q, least, 20), ann.score(ids, x, np.arange(-50, 0), q, least, 20, ann.choose(ids, codes.dump(), np.arange(-50, 0), q, least, 20))):
+        assert np.isclose(np.sort(best.scores, axis=1)[:, ::-1], true).mean() > 0.97
+
+
+def test_shards_that_cannot_reach_are_left_out(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(0, 20, (12, 8))
+    x = np.concatenate([c + rng.normal(0, 0.2, (50, 8)) for c in centres])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kept = vectors_.valid(rows, "vec_id", "embedding", lambda c: c)
+    shards = [r.shard for r in vectors_.dealt(kept, 50).select("shard").collect()]
+    assert len(shards) == 600 and max(Counter(shards).values()) <= 90
+    seen, real = [], vectors_.route
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vectors_, "route", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+        got = topk.top_k(rows, F.col("vec_id") % 20 == 0, k=5, scale=1, shard_rows=50).collect()
+    pairs = sum(len(bytes(r.q_ids)) // 8 for r in seen[1].select("q_ids").collect())
+    assert pairs < 0.5 * 30 * len(set(shards))  # of 30 queries and all shards
+    want = brute_top({i: np.floor(v) for i, v in enumerate(x)}, 5, lambda a, b: int(a @ b))
+    assert {(r.query_id, r["rank"] - 1): (r.vec_id, r.score) for r in got} == {(q, i): p for q, f in want.items() for i, p in enumerate(f)}
 
 
 # 6

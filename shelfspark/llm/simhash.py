@@ -257,8 +257,9 @@ NEAR_BITS = 21
 #: Most rows of a bucket that are compared with each other in one task.
 PART_ROWS = 4096
 
-#: Texts from whose shingles the common ones are told, and most shingles so told.
-SAMPLE_TEXTS, COMMON_SHINGLES = 20_000, 200_000
+#: Share of the texts (all, if fewer than SAMPLE_TEXTS) from whose shingles the common ones
+#: are told, and most shingles so told. It only sets the order in which shingles are tried.
+SAMPLE_SHARE, SAMPLE_TEXTS, COMMON_SHINGLES = 8, 20_000, 1_000_000
 
 
 def shingled(docs: DataFrame, shingle: int) -> DataFrame:
@@ -384,7 +385,7 @@ def _common(docs: DataFrame, nodes: int, shingle: int) -> np.ndarray:
             for b in in_chunks(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(shingle_sets(b.column("text"), shingle))))], ["id"])
 
-    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(F.pmod("text_hash", F.lit(max(1, nodes // SAMPLE_TEXTS))) == 0)
+    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(F.pmod("text_hash", F.lit(max(1, min(SAMPLE_SHARE, nodes // SAMPLE_TEXTS)))) == 0)
     texts = hashed.groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
     counts = texts.mapInArrow(run, "id long").groupBy("id").count().filter("count > 2")
     top = counts.orderBy(F.desc("count"), "id").limit(COMMON_SHINGLES).select("id").toArrow()
@@ -418,12 +419,13 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
                     size.append(n)
                     many.append(len(first))
                 if sum(many):
-                    each = [np.repeat(x, many) for x in (b.column("node").to_numpy(), b.column("root").to_numpy(), np.array(size))]
-                    at = np.arange(sum(many)) - np.repeat(np.cumsum(many) - many, many)
+                    each = [np.repeat(x, many) for x in (b.column("node").to_numpy(), b.column("root").to_numpy(), np.array(size, np.int32))]
+                    at = (np.arange(sum(many)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(out), *each, at)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, root, n, at in _runs(batches, names):
+        for key, node, root, *small in _runs(batches, names):
+            n, at = (x.astype(np.int64) for x in small)
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size, found = np.diff(np.append(new, len(key))), []
             for i, k in zip(new[size > 1], size[size > 1]):
@@ -432,7 +434,7 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
             yield _named(node, found)
         release()
 
-    entries = materialize(_texts(docs, nodes, "root").mapInArrow(prefixes, ", ".join(f"{c} long" for c in names)), "rare-shingles")
+    entries = materialize(_texts(docs, nodes, "root").mapInArrow(prefixes, "key long, node long, root long, n int, at int"), "rare-shingles")
     hot = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > part_rows), "hot-shingles")
     parts = F.ceil(F.col("rows") / part_rows)
     mine = F.pmod(F.xxhash64("node"), parts)
@@ -445,13 +447,15 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
 
 def _texts(docs: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     """(node, ..., text), one text of each node; copies meet before they are dealt out."""
-    distinct = docs.select(F.xxhash64("text").alias("text_hash"), "text").groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(nodes.select("text_hash"), "text_hash", "left_semi")
+    distinct = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
     return distinct.join(nodes.select("node", "text_hash", *more), "text_hash").select("node", *more, "text")
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of 0.8 or more."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # written, so that a small table of them can go to the texts instead of all texts to it
+    used = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_hash"), "used")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,11 +466,13 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -
                 yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "ids"])
         release()
 
-    sets = materialize(_texts(docs, nodes.join(used, "node", "left_semi")).mapInArrow(run, "node long, ids array<long>"), "shingle-sets")
+    sets = materialize(_texts(docs, used).mapInArrow(run, "node long, ids array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
     total, common = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
     # common / (total - common) >= 0.8, in whole numbers
-    return materialize(both.filter(9 * common >= 4 * total).select("a", "b"), "similar")
+    out = materialize(both.filter(9 * common >= 4 * total).select("a", "b"), "similar")
+    discard(used, sets)
+    return out
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = NEAR_BITS) -> DataFrame:

@@ -17,7 +17,7 @@ whole gives an interval of rows, over which the smallest document is found. A
 piece's windows also stand in its own smallest document. Each window with a
 smallest document is reported to every larger document that holds the piece.
 
-An anchor with more than ``hot_pieces`` distinct pieces (a passage in thousands
+An anchor with more than ``hot_pieces`` distinct pieces (a passage in dozens
 of documents, which each have their own words before it) would put them all in
 one shard. The windows of such pieces are grouped by two hashes of the whole
 window instead, which is exact but for collisions of 128 bits and spreads over
@@ -49,7 +49,7 @@ WINDOW = 50
 GRAM = 8
 
 #: Distinct pieces from which an anchor's windows are dealt one by one.
-HOT_PIECES = 2048
+HOT_PIECES = 16
 
 #: Words in a shard, about.
 SHARD_WORDS = 400_000

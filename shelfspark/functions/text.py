@@ -25,8 +25,8 @@ def hyphened(s: Column) -> Column:
 
 
 def attempt_key(email: Column, ip: Column) -> Column:
-    """What attempts are counted by: both parts, null if one is."""
-    return F.when(email.isNotNull() & ip.isNotNull(), transliterate(F.concat_ws("|", F.lower(email), ip)))
+    """What attempts are counted by: both parts; a null one is empty, so that the other still tells attempts apart."""
+    return transliterate(F.concat(F.lower(F.coalesce(email, F.lit(""))), F.lit("|"), F.coalesce(ip, F.lit(""))))
 
 
 def parsed_list(s: Column) -> Column:

@@ -90,32 +90,41 @@ def at_most(c: Column, n: int) -> Column:
     return F.length(c) <= n
 
 
-def account_errors(name: Column, email: Column, password: Column, confirmation: Column) -> Column:
-    """Rules that a registration breaks, in order."""
+def account_errors(name: Column, email: Column, password: Column, confirmation: Column, taken: Column | None = None, least: int = 8) -> Column:
+    """Rules that a registration breaks, in order. A field that is missing breaks only
+    that rule; ``taken`` is true for an e-mail that another account has; a password
+    has at least ``least`` characters."""
     ok = lambda c: F.coalesce(c, F.lit(False))
-    rules = [
-        ("name.required", required(name)), ("name.max", at_most(name, 255)),
-        ("email.required", required(email)), ("email.lowercase", lowercase(email)), ("email.email", is_email(email)), ("email.max", at_most(email, 255)),
-        ("password.required", required(password)), ("password.confirmed", password.eqNullSafe(confirmation)),
+    fields = [
+        ("name", name, [("max", at_most(name, 255))]),
+        ("email", email, [("lowercase", lowercase(email)), ("email", is_email(email)), ("max", at_most(email, 255)), ("unique", ~ok(taken if taken is not None else F.lit(False)))]),
+        ("password", password, [("confirmed", password.eqNullSafe(confirmation)), ("min", F.length(password) >= least)]),
     ]
-    return F.filter(F.array(*(F.when(~ok(c), F.lit(n)) for n, c in rules)), lambda x: x.isNotNull())
+    broken = []
+    for field, value, rules in fields:
+        there = ok(required(value))
+        broken.append(F.when(~there, F.lit(f"{field}.required")))
+        broken += [F.when(there & ~ok(c), F.lit(f"{field}.{n}")) for n, c in rules]
+    return F.filter(F.array(*broken), lambda x: x.isNotNull())
 
 
 def visible(df: DataFrame, hidden: list[str]) -> DataFrame:
     return df.drop(*hidden)
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, pk: str) -> DataFrame:
+def snapshot_diff(old: DataFrame, new: DataFrame, pk: str, hidden: tuple[str, ...] = ()) -> DataFrame:
     """(pk, acao, antes, depois) between two snapshots: what was created, edited or
-    deleted, with the columns that changed as maps to text."""
+    deleted. An edit holds the columns that changed, as maps to text; the others hold
+    the whole row with its key. No image holds a ``hidden`` column."""
     columns = [c for c in old.columns if c != pk]
-    as_map = lambda side: F.create_map(*(x for c in columns for x in (F.lit(c), F.col(f"{side}.{c}").cast("string"))))
+    shown = [c for c in (pk, *columns) if c not in hidden]
+    as_map = lambda side: F.create_map(*(x for c in shown for x in (F.lit(c), F.col(f"{side}.{c}").cast("string"))))
     o = old.withColumn("__there", F.lit(True)).alias("o")
     n = new.withColumn("__there", F.lit(True)).alias("n")
     both = o.join(n, F.col(f"o.{pk}") == F.col(f"n.{pk}"), "full")
     gone, came = F.col("n.__there").isNull(), F.col("o.__there").isNull()
     dirty = reduce(lambda a, b: a | b, (changed(F.col(f"o.{c}"), F.col(f"n.{c}")) for c in columns))
-    keys = F.filter(F.array(*(F.when(gone | came | changed(F.col(f"o.{c}"), F.col(f"n.{c}")), F.lit(c)) for c in columns)), lambda x: x.isNotNull())
+    keys = F.filter(F.array(*(F.when(gone | came | changed(F.col(f"o.{c}"), F.col(f"n.{c}")), F.lit(c)) for c in shown)), lambda x: x.isNotNull())
     some = lambda side, none: F.when(~none, F.map_filter(as_map(side), lambda k, v: F.array_contains(keys, k)))
     return both.filter(gone | came | dirty).select(
         F.coalesce(f"o.{pk}", f"n.{pk}").alias(pk),

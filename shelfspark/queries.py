@@ -261,9 +261,9 @@ def messages(spark, sf):
     return due.join(users, due["EMPUSUARIO"] == users["id"]).select(F.col("name").alias("para"), F.concat(F.lit("EMPCODIGO "), "EMPCODIGO", F.lit(": "), text.day(F.date_add("EMPDTEMPR", reports.TERM_DAYS))).alias("mensagem"))
 
 
-@query("snk15_defaults", "SELECT event_id, coalesce(CASE WHEN value > 10 THEN true END, true) AS disponivel FROM events")
+@query("snk15_defaults", "SELECT event_id, coalesce(CASE WHEN value > 10 THEN false END, true) AS disponivel FROM events")
 def defaults(spark, sf):
-    new = read(spark, sf, "events").select("event_id", F.when(F.col("value") > 10, True).alias("disponivel"))
+    new = read(spark, sf, "events").select("event_id", F.when(F.col("value") > 10, False).alias("disponivel"))
     return rows.insert(new.limit(0), new, defaults={"disponivel": F.lit(True)})
 
 
@@ -286,10 +286,23 @@ def unique_ignoring_self(spark, sf):
     return rows.unique_but_for_self(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
-@query("flt10_row_validation", """SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(c_name) = '' THEN 'name.required' END, CASE WHEN c_mktsegment <> lower(c_mktsegment) THEN 'email.lowercase' END, 'email.email', CASE WHEN c_name <> c_mktsegment THEN 'password.confirmed' END], lambda x: x IS NOT NULL), ',') AS erros FROM customer""")
+_FORMS = """(SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS n, CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) || '@x.org' WHEN 1 THEN '  ' ELSE c_mktsegment END AS e,
+ substr(c_name, 1, CAST(c_custkey % 12 AS INTEGER)) AS p, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE substr(c_name, 1, CAST(c_custkey % 12 AS INTEGER)) END AS c, c_custkey % 10 = 0 AS taken FROM customer)"""
+
+
+@query(
+    "flt10_row_validation",
+    f"""SELECT c_custkey, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'name.required' END, CASE WHEN trim(e) = '' THEN 'email.required' END,
+ CASE WHEN trim(e) <> '' AND e <> lower(e) THEN 'email.lowercase' END, CASE WHEN trim(e) <> '' AND e NOT LIKE '%@%.%' THEN 'email.email' END, CASE WHEN trim(e) <> '' AND taken THEN 'email.unique' END,
+ CASE WHEN p = '' THEN 'password.required' END, CASE WHEN p <> '' AND p <> c THEN 'password.confirmed' END, CASE WHEN p <> '' AND length(p) < 8 THEN 'password.min' END], lambda x: x IS NOT NULL), ',') AS erros FROM {_FORMS}""",
+)
 def row_validation(spark, sf):
+    key = F.col("c_custkey")
     name, segment = F.col("c_name"), F.col("c_mktsegment")
-    return read(spark, sf, "customer").select("c_custkey", F.array_join(rows.account_errors(name, segment, name, segment), ",").alias("erros"))
+    email = F.when(key % 5 == 0, F.concat(F.lower(segment), F.lit("@x.org"))).when(key % 5 == 1, F.lit("  ")).otherwise(segment)
+    password = F.substring(name, F.lit(1), (key % 12).cast("int"))
+    errors = rows.account_errors(F.when(key % 7 != 0, name), email, password, F.when(key % 3 == 0, name).otherwise(password), key % 10 == 0)
+    return read(spark, sf, "customer").select("c_custkey", F.array_join(errors, ",").alias("erros"))
 
 
 @query("flt12_live_tokens", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-02 00:00:00'")
@@ -311,10 +324,10 @@ def dirty_rows(spark, sf):
 # Maps, text, dates
 
 
-@query("prj4_hidden_keys", "SELECT event_id, '' AS visivel FROM events")
+@query("prj4_hidden_keys", f"SELECT event_id, CASE {_ACTION} WHEN 'excluiu' THEN '' ELSE 'u' END AS visivel FROM events")
 def hidden_keys(spark, sf):
-    shown = changes.without_keys(changes.decoded(F.col("props")), ["k"])
-    return read(spark, sf, "events").select("event_id", F.array_join(F.map_keys(shown), ",").alias("visivel"))
+    shown = changes.without_keys(changes.decoded(F.col("AUDDEPOIS")), ["k"])
+    return analog.audit_log(spark, sf).select(F.col("AUDCODIGO").alias("event_id"), F.array_join(F.map_keys(shown), ",").alias("visivel"))
 
 
 @query("set1_key_union", f"SELECT event_id, CASE {_ACTION} WHEN 'editou' THEN 'k,u' WHEN 'criou' THEN 'u,k' ELSE 'k' END AS chaves FROM events")

@@ -80,7 +80,9 @@ def test_snapshot_diff(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string")
     new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "id long, v string")
     got = sorted((r.id, r.acao, r.antes, r.depois) for r in rows.snapshot_diff(old, new, "id").collect())
-    assert got == [(2, "editou", {"v": "b"}, {"v": "B"}), (3, "excluiu", {"v": "c"}, None), (4, "criou", None, {"v": "d"})]
+    assert got == [(2, "editou", {"v": "b"}, {"v": "B"}), (3, "excluiu", {"id": "3", "v": "c"}, None), (4, "criou", None, {"id": "4", "v": "d"})]
+    hidden = {r.id: (r.antes, r.depois) for r in rows.snapshot_diff(old.withColumn("senha", F.lit("x")), new.withColumn("senha", F.lit("y")), "id", hidden=("senha",)).collect()}
+    assert hidden == {1: ({}, {}), 2: ({"v": "b"}, {"v": "B"}), 3: ({"id": "3", "v": "c"}, None), 4: (None, {"id": "4", "v": "d"})}
 
 
 def test_lists_and_text(spark):
@@ -107,10 +109,13 @@ def test_writes(spark):
 
 
 def test_validation_and_membership(spark):
-    t = spark.createDataFrame([("Ana", "ana@x.org", "p", "p"), (" ", "Ana@x.org", "p", "q"), (None, "nope", None, None)], "n string, e string, p string, c string")
+    t = spark.createDataFrame([("Ana", "ana@x.org", "password", "password"), (" ", "Ana@x.org", "p", "q"), (None, "nope", None, None)], "n string, e string, p string, c string")
     got = [r[0] for r in t.select(rows.account_errors(*map(F.col, "nepc"))).collect()]
-    assert got[0] == [] and got[1] == ["name.required", "email.lowercase", "password.confirmed"]
-    assert got[2] == ["name.required", "name.max", "email.email", "password.required"]
+    assert got[0] == [] and got[1] == ["name.required", "email.lowercase", "password.confirmed", "password.min"]
+    assert got[2] == ["name.required", "email.email", "password.required"]
+    assert t.limit(1).select(rows.account_errors(*map(F.col, "nepc"), taken=F.lit(True))).first()[0] == ["email.unique"]
+    keys = spark.createDataFrame([("A@x", None), (None, "1.2")], "e string, i string").select(text.attempt_key(F.col("e"), F.col("i"))).collect()
+    assert [r[0] for r in keys] == ["a@x|", "|1.2"]
     members = t.select(rows.member(F.col("e"), ["ana@x.org"]).alias("m"), rows.member(F.col("e"), []).alias("none")).collect()
     assert [r.m for r in members] == [True, False, False] and not any(r.none for r in members)
 

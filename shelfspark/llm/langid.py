@@ -161,8 +161,10 @@ def train(texts: list[str], langs: list[str], s: Settings) -> Model | None:
     rng, k = np.random.default_rng(s.seed), len(labels)
     y = np.array([labels.index(v) for _, v in rows])
     # kept as Arrow: as objects of their own, the words would take ten times the room
-    words = words_of(pa.array([t for t, _ in rows], pa.large_string()))
-    first = words.offsets.to_numpy()
+    lists = words_of(pa.array([t for t, _ in rows], pa.large_string()))
+    real = pc.greater(pc.binary_length(lists.values), 0)  # not the empty ones beside outer white space
+    words = lists.values.filter(real)
+    first = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()]
     held = np.arange(len(rows)) % 10 == 9 if len(rows) >= 50 else np.zeros(len(rows), bool)
     fit = np.flatnonzero(~held)
     emb = rng.normal(0, 0.1, (s.buckets, s.width)).astype(np.float32)
@@ -178,7 +180,7 @@ def train(texts: list[str], langs: list[str], s: Settings) -> Model | None:
                 step += 1
                 batch = order[a : a + s.batch]
                 chosen = [np.arange(a, b) if b - a <= s.words_a_step else rng.integers(a, b, s.words_a_step) for a, b in zip(first[batch], first[batch + 1])]
-                picked = [[w for w in words.values.take(pa.array(c)).to_pylist() if w] for c in chosen]
+                picked = [words.take(pa.array(c)).to_pylist() for c in chosen]
                 ids, n = word_grams([w for p in picked for w in p], s)
                 grams = np.add.reduceat(n, np.cumsum([0] + [len(p) for p in picked[:-1]]))
                 ends = np.cumsum(grams)

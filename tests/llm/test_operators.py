@@ -664,6 +664,13 @@ def test_scores_are_those_of_a_plain_loop(spark):
         assert np.allclose(got, langid.softmax((np.zeros((1, 3)) + mean + model.bias) / model.temperature)[0], atol=1e-9)
 
 
+def test_white_space_round_words_trains_nothing(spark):
+    rows = [(f"\n  {w}{i} \n", y) for i in range(200) for w, y in (("aeio", "xx"), ("bcdf", "yy"))]
+    plain = langid.train([t.strip() for t, _ in rows], [y for _, y in rows], langid.Settings())
+    padded = langid.train([t for t, _ in rows], [y for _, y in rows], langid.Settings())
+    assert np.isfinite(padded.table).all() and np.array_equal(plain.table, padded.table)
+
+
 def test_calibration_is_inside_its_grid(spark):
     model = langid.fit(language_docs(spark))
     assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1] and model.threshold == 0.5

@@ -7,9 +7,9 @@ together by stochastic gradient descent in numpy, on a bounded sample. As all is
 linear up to the softmax, a word's part is one short row, found once a word.
 
 A tenth of the sample is held back to calibrate the scores: the temperature that
-makes the likelihood of its labels highest, with one right and one wrong label
-added to what was seen, as a sample without an error says nothing of how sure
-to be. A score is then the chance of being right, and a prediction that is more
+makes the likelihood of its labels highest, with the least sure of them counted
+once more as wrong, as a sample without an error says nothing of how sure to
+be. A score is then the chance of being right, and a prediction that is more
 likely wrong than right (``reject_below``) is rejected.
 
 The label of a text that is null or has no letter is ``und`` with score 0. A
@@ -139,15 +139,18 @@ TEMPERATURES = np.geomspace(1e-3, 1e2, 251)
 
 
 def calibrated(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The temperature of highest likelihood, one right and one wrong label added."""
-    n, k = logits.shape
-    goal = np.full((n, k), 1 / (n + 2) / max(1, k - 1))
-    goal[np.arange(n), truth] = (n + 1) / (n + 2)
+    """The temperature of highest likelihood, with the least sure label counted once
+    more as the wrong one next to it."""
+    n = len(logits)
+    others = logits.copy()
+    others[np.arange(n), truth] = -np.inf
+    least = (logits[np.arange(n), truth] - others.max(axis=1)).argmin()
+    logits, truth = np.vstack([logits, logits[least]]), np.append(truth, others[least].argmax())
 
     def loss(t: float) -> float:
         x = logits / t
         x = x - x.max(axis=1, keepdims=True)
-        return float((goal * (np.log(np.exp(x).sum(axis=1, keepdims=True)) - x)).sum())
+        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(n + 1), truth]).sum())
 
     return float(min(TEMPERATURES, key=loss))
 

@@ -268,13 +268,11 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
     names = ["doc_id", "node", *WORDS[2], "text_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
             for b in in_chunks(batch):
                 out = np.zeros((b.num_rows, 3), np.int64)
                 for i, ids in enumerate(shingle_sets(b.column("text"), shingle)):
-                    out[i, 0] = np.uint64(xxh64_intdigest(ids.tobytes(), SEED)).astype(np.int64)
+                    out[i, 0] = _set_name(ids)
                     ones = np.zeros(128, np.int64)
                     for a in range(0, len(ids), 1 << 15):
                         h = ids[a : a + (1 << 15)].view(np.uint64)
@@ -288,6 +286,13 @@ def shingled(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def _set_name(ids: np.ndarray) -> np.int64:
+    """What names a set of shingles: a 64-bit hash of it."""
+    from xxhash import xxh64_intdigest
+
+    return np.uint64(xxh64_intdigest(ids.tobytes(), SEED)).astype(np.int64)
+
+
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     """The set of each text's shingles as sorted 64-bit hashes; a short text is one shingle."""
     words = Words(pc.ascii_lower(texts))
@@ -338,8 +343,8 @@ def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np
         # common / (n + m - common) >= 0.8, in whole numbers, with the most that can be common
         can = 9 * np.minimum(left[a:z, None], left[None, a:]) >= 4 * (n[a:z, None] + n[None, a:])
         i, j = np.nonzero(can & (place[a:z, None] != place[None, a:]))
-        i, j = i + a, j + a
-        yield np.stack([order[i[i < j]], order[j[i < j]]])
+        i, j = i[i < j] + a, j[i < j] + a
+        yield np.stack([order[i], order[j]])
 
 
 def first_pairs(nodes: DataFrame, distance: int) -> DataFrame:
@@ -399,6 +404,7 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
     Two sets with that similarity share one of the first n - ceil(0.8 n) + 1 of
     each one's n members, in any order that is the same for all sets. Here
     ``common`` shingles come last, so that a shared passage seldom makes a pair.
+    Most of these shingles stand in one set only, and are left out.
     A bucket of more than ``part_rows`` rows is cut in parts, and each pair of
     parts is a unit of work of its own."""
     names, place = ["key", "node", "root", "n", "at"], np.argsort(common)
@@ -407,7 +413,7 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in in_chunks(batch):
-                out, size, many = [], [], []
+                keys, size, many, nodes = [], [], [], []
                 for ids in shingle_sets(b.column("text"), shingle):
                     n = len(ids)
                     rank = np.zeros(n, np.int64)
@@ -415,13 +421,15 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
                         k = np.minimum(np.searchsorted(ids_sorted, ids), len(common) - 1)
                         rank = np.where(ids_sorted[k] == ids, place[k] + 1, 0)
                     first = ids[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]] if n else ids
-                    out.append(first)
+                    keys.append(first)
                     size.append(n)
                     many.append(len(first))
+                    nodes.append(_set_name(ids))
                 if sum(many):
-                    each = [np.repeat(x, many) for x in (b.column("node").to_numpy(), b.column("root").to_numpy(), np.array(size, np.int32))]
-                    at = (np.arange(sum(many)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(out), *each, at)], names)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *many]), pa.int32()), pa.array(np.concatenate(keys)))
+                    cols = [pa.array(np.array(nodes)), pa.array(np.array(size, np.int32)), lists]
+                    yield pa.RecordBatch.from_arrays(cols, ["node", "n", "keys"])
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, root, *small in _runs(batches, names):
@@ -434,14 +442,20 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
             yield _named(node, found)
         release()
 
-    entries = materialize(_texts(docs, nodes, "root").mapInArrow(prefixes, "key long, node long, root long, n int, at int"), "rare-shingles")
-    hot = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > part_rows), "hot-shingles")
+    # a set's shingles stay in one row until they are compared; copies meet before they are dealt out
+    sets = docs.select("text").mapInArrow(prefixes, "node long, n int, keys array<long>")
+    sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys")))
+    sets = materialize(sets.join(nodes.select("node", "root"), "node"), "rare-shingles")
+    # a node alone is its own root, so that the difference of both packs well
+    entries = sets.select("node", F.col("node").bitwiseXOR(F.col("root")).alias("to_root"), "n", F.posexplode("keys").alias("at", "key"))
+    shared = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shared-shingles")
+    met = materialize(entries.join(shared, "key"), "shared-entries")
     parts = F.ceil(F.col("rows") / part_rows)
     mine = F.pmod(F.xxhash64("node"), parts)
-    cut = entries.join(hot, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    cut = cut.withColumn("key", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other"))).select(*names)
-    pairs = materialize(_dealt(entries.join(hot, "key", "left_anti").unionAll(cut), run), "candidates")
-    discard(entries, hot)
+    cut = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = cut.withColumn("key", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other"))).withColumn("root", F.col("node").bitwiseXOR(F.col("to_root")))
+    pairs = materialize(_dealt(cut.select(*names), run), "candidates")
+    discard(sets, shared, met)
     return pairs
 
 

@@ -326,10 +326,22 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
         yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
 
-def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+#: Bits of a set's mark, 64 to a column.
+MARKS = [f"m{k}" for k in range(8)]
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    """Parities of the members of a set that fall on each of 512 places. Marks of two
+    sets differ in no more bits than there are members that only one of them has."""
+    at = finish(ids.view(np.uint64)) % np.uint64(64 * len(MARKS))
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * len(MARKS)) & 1, bitorder="little").view("<i8")
+
+
+def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, mark: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """All pairs of a bucket's rows that have different roots and can have a
-    similarity of 0.8: ``n`` shingles, of which ``at`` stand before the shared one.
-    Rows of the commonest root aren't compared with each other."""
+    similarity of 0.8: ``n`` shingles, of which ``at`` stand before the shared one,
+    and ``mark`` (a row each) if given. Rows of the commonest root aren't compared
+    with each other."""
     roots, place, count = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) == 1:
         return
@@ -337,6 +349,7 @@ def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np
     order = np.concatenate([np.flatnonzero(~most), np.flatnonzero(most)])
     rest = len(order) - count.max()
     n, left, place = n[order], (n - at)[order], place[order]
+    bits = None if mark is None else mark[order].view(np.uint64)
     step = max(1, (1 << 18) // len(order))
     for a in range(0, rest, step):
         z = min(a + step, rest)
@@ -344,6 +357,11 @@ def _cross_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[np
         can = 9 * np.minimum(left[a:z, None], left[None, a:]) >= 4 * (n[a:z, None] + n[None, a:])
         i, j = np.nonzero(can & (place[a:z, None] != place[None, a:]))
         i, j = i[i < j] + a, j[i < j] + a
+        if bits is not None:
+            # at least so many members stand in one set only: common <= (n + m - apart) / 2
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            may = n[i] + n[j] >= 9 * apart
+            i, j = i[may], j[may]
         yield np.stack([order[i], order[j]])
 
 
@@ -404,16 +422,17 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
     Two sets with that similarity share one of the first n - ceil(0.8 n) + 1 of
     each one's n members, in any order that is the same for all sets. Here
     ``common`` shingles come last, so that a shared passage seldom makes a pair.
-    Most of these shingles stand in one set only, and are left out.
+    Most of these shingles stand in one set only; the others' sets meet with their
+    marks, which leave out most pairs of less similarity before they are named.
     A bucket of more than ``part_rows`` rows is cut in parts, and each pair of
     parts is a unit of work of its own."""
-    names, place = ["key", "node", "root", "n", "at"], np.argsort(common)
+    names, place = ["key", "node", "root", "n", "at", *MARKS], np.argsort(common)
     ids_sorted = common[place]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in in_chunks(batch):
-                keys, size, many, nodes = [], [], [], []
+                keys, size, many, nodes, marks = [], [], [], [], []
                 for ids in shingle_sets(b.column("text"), shingle):
                     n = len(ids)
                     rank = np.zeros(n, np.int64)
@@ -425,26 +444,27 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
                     size.append(n)
                     many.append(len(first))
                     nodes.append(_set_name(ids))
+                    marks.append(_mark(ids))
                 if sum(many):
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *many]), pa.int32()), pa.array(np.concatenate(keys)))
-                    cols = [pa.array(np.array(nodes)), pa.array(np.array(size, np.int32)), lists]
-                    yield pa.RecordBatch.from_arrays(cols, ["node", "n", "keys"])
+                    cols = [pa.array(np.array(nodes)), pa.array(np.array(size, np.int32)), lists, *(pa.array(c.copy()) for c in np.stack(marks).T)]
+                    yield pa.RecordBatch.from_arrays(cols, ["node", "n", "keys", *MARKS])
         release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, root, *small in _runs(batches, names):
-            n, at = (x.astype(np.int64) for x in small)
+        for key, node, root, *rest in _runs(batches, names):
+            (n, at), mark = (x.astype(np.int64) for x in rest[:2]), np.stack(rest[2:], axis=1)
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size, found = np.diff(np.append(new, len(key))), []
             for i, k in zip(new[size > 1], size[size > 1]):
                 part = slice(i, i + k)
-                found += [i + p for p in _cross_pairs(n[part], at[part], root[part])]
+                found += [i + p for p in _cross_pairs(n[part], at[part], root[part], mark[part])]
             yield _named(node, found)
         release()
 
     # a set's shingles stay in one row until they are compared; copies meet before they are dealt out
-    sets = docs.select("text").mapInArrow(prefixes, "node long, n int, keys array<long>")
-    sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys")))
+    sets = docs.select("text").mapInArrow(prefixes, ", ".join(["node long", "n int", "keys array<long>", *(f"{m} long" for m in MARKS)]))
+    sets = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "keys", *MARKS)))
     sets = materialize(sets.join(nodes.select("node", "root"), "node"), "rare-shingles")
     # a node alone is its own root, so that the difference of both packs well
     entries = sets.select("node", F.col("node").bitwiseXOR(F.col("root")).alias("to_root"), "n", F.posexplode("keys").alias("at", "key"))
@@ -452,7 +472,7 @@ def rare_pairs(docs: DataFrame, nodes: DataFrame, common: np.ndarray, shingle: i
     met = materialize(entries.join(shared, "key"), "shared-entries")
     parts = F.ceil(F.col("rows") / part_rows)
     mine = F.pmod(F.xxhash64("node"), parts)
-    cut = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cut = met.join(sets.select("node", *MARKS), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     cut = cut.withColumn("key", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other"))).withColumn("root", F.col("node").bitwiseXOR(F.col("to_root")))
     pairs = materialize(_dealt(cut.select(*names), run), "candidates")
     discard(sets, shared, met)

@@ -318,6 +318,23 @@ def test_all_cross_pairs_of_a_bucket():
     assert sorted(got) == [(i, j) for i in range(700) for j in range(i + 1, 700) if root[i] != root[j] and can(i, j)]
 
 
+def test_marks_leave_no_similar_pair_out():
+    rng = np.random.default_rng(10)
+    sets, roots = [], []
+    for g in range(24):
+        body = rng.integers(-(1 << 62), 1 << 62, rng.integers(30, 300))
+        for share in (1.0, 0.97, 0.92, 0.89, 0.85, 0.8, 0.6):
+            own = rng.integers(-(1 << 62), 1 << 62, len(body))
+            sets.append(np.unique(np.where(rng.random(len(body)) < share, body, own)))
+    sets.append(np.zeros(0, np.int64))
+    n, mark = np.array([len(x) for x in sets]), np.stack([simhash._mark(x) for x in sets])
+    zero, root = np.zeros(len(n), np.int64), np.arange(len(n))
+    pairs = lambda *m: {tuple(sorted(p)) for part in simhash._cross_pairs(n, zero, root, *m) for p in part.T.tolist()}
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    want = {(i, j) for i, j in pairs() if 9 * common(i, j) >= 4 * (n[i] + n[j])}
+    assert len(want) > 50 and want <= pairs(mark) and len(pairs(mark)) < 2 * len(want) < len(pairs())
+
+
 def test_null_ids_keep_their_text(spark):
     rows = [(None, "a b c d e f g"), (None, "quite another text that has nothing to do with it"), (4, "a b c d e f g"), (4, "a b c d e f g")]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()

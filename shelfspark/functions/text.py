@@ -34,6 +34,12 @@ def parsed_list(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != "0"))
 
 
+def inverted(a: Column) -> Column:
+    """Entries of a list as keys, each with its last place (from 0)."""
+    keys = F.array_distinct(a)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: (F.size(a) - F.array_position(F.reverse(a), k)).cast("int")))
+
+
 def is_email(s: Column) -> Column:
     return F.rlike(s, F.lit(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"))
 

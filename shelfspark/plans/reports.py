@@ -51,11 +51,23 @@ def due_soon(loans: DataFrame, as_of: str, sent: DataFrame | None = None, term_d
     return due if sent is None else due.join(sent.select("EMPCODIGO").distinct(), "EMPCODIGO", "left_anti")
 
 
+def due_on(loans: DataFrame, days: DataFrame, term_days: int = TERM_DAYS, lead_days: int = LEAD_DAYS) -> DataFrame:
+    """Open loans to remind of on each of ``days`` (dia), with the day."""
+    lent = days.select("dia").distinct().withColumn("__lent", F.date_add("dia", lead_days - term_days))
+    return loans.filter(F.col("EMPDTDEVOL").isNull()).join(lent, F.col("EMPDTEMPR") == F.col("__lent")).drop("__lent")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page by offset: a top-k of what precedes its end."""
     return df.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 
+def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The page that follows ``last`` in falling order of a unique key. The predicate
+    reaches the reader, and no page costs more than the first, however deep it is."""
+    return df.filter(F.col(key) < F.lit(last)).orderBy(F.desc(key)).limit(size)
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return total.select("total", F.ceil(F.col("total") / size).cast("long").alias("paginas"))
@@ -67,22 +79,28 @@ def audit_page(log: DataFrame, users: DataFrame, number: int = 1, size: int = AU
     newest = Window.orderBy(F.desc("AUDCODIGO"))
     rows = page(log, [F.desc("AUDCODIGO")], number, size).withColumn("__n", F.row_number().over(newest))
     named = rows.join(users.select(F.col("id").alias("__u"), "name"), F.col("AUDUSUARIO") == F.col("__u"), "left")
-    before, after = decoded(F.col("AUDANTES")), decoded(F.col("AUDDEPOIS"))
-    return named.select(
+    return _decoded_once(named).select(
         "AUDCODIGO",
         minute(F.col("AUDDATA")).alias("quando"),
         F.coalesce("name", F.lit("Sistema")).alias("usuario"),
         "AUDACAO",
         F.concat("AUDTABELA", F.lit(" #"), F.col("AUDREGISTRO")).alias("registro"),
-        F.array_join(change_lines(F.col("AUDACAO"), before, after), "\n").alias("detalhes"),
+        F.array_join(change_lines(F.col("AUDACAO"), F.col("__antes"), F.col("__depois")), "\n").alias("detalhes"),
         "__n",
     ).orderBy("__n").drop("__n")
 
 
 def audit_lines(log: DataFrame) -> DataFrame:
     """One row for each line of each change, with its place."""
-    lines = change_lines(F.col("AUDACAO"), decoded(F.col("AUDANTES")), decoded(F.col("AUDDEPOIS")))
-    return log.select("AUDCODIGO", F.posexplode(lines).alias("ordem", "linha"))
+    maps = _decoded_once(log.select("AUDCODIGO", "AUDACAO", "AUDANTES", "AUDDEPOIS"))
+    lines = change_lines(F.col("AUDACAO"), F.col("__antes"), F.col("__depois"))
+    return maps.select("AUDCODIGO", F.posexplode(lines).alias("ordem", "linha"))
+
+
+def _decoded_once(log: DataFrame) -> DataFrame:
+    """``log`` with both images as columns: change lines name them for each key, and an
+    expression in their place would parse the JSON as often."""
+    return log.withColumns({"__antes": decoded(F.col("AUDANTES")), "__depois": decoded(F.col("AUDDEPOIS"))})
 
 
 def genre_page(genres: DataFrame, number: int = 1, size: int = GENRE_PAGE) -> DataFrame:
@@ -95,10 +113,9 @@ def level_of_users(users: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def users_of_levels(users: DataFrame, levels: DataFrame) -> DataFrame:
-    """Each level with its users in order of code; a level without any has an empty list."""
-    lists = users.groupBy("USRNIVEL").agg(F.sort_array(F.collect_list(F.struct("USRCODIGO", "USRNOME"))).alias("usuarios"))
-    none = F.array().cast("array<struct<USRCODIGO:bigint,USRNOME:string>>")
-    return levels.join(lists, F.col("NVLCODIGO") == F.col("USRNIVEL"), "left").select(*levels.columns, F.coalesce("usuarios", none).alias("usuarios"))
+    """Each level with its users, a row each, so that a level may have any number; a
+    level without any has one row of nulls."""
+    return levels.join(users, F.col("NVLCODIGO") == F.col("USRNIVEL"), "left").select(*levels.columns, "USRCODIGO", "USRNOME")
 
 
 def books_with(books: DataFrame, bridge: DataFrame, book: str, other: str, others: DataFrame, key: str, main: str | None = None) -> DataFrame:

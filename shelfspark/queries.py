@@ -76,9 +76,10 @@ def src11(spark, sf):
     return tables.made_up_users(spark, 100, AS_OF).select("id", "name", "email", "password", "remember_token")
 
 
-@query("src12_unverified_users", "SELECT i AS id, 'Test User' AS name, NULL::TIMESTAMP IS NULL AS unverified FROM range(1, 11) t(i)")
+@query("src12_unverified_users", f"SELECT i AS id, 'Test User' AS name, NULL AS verificado FROM range(1, 11) t(i) UNION ALL SELECT i, 'User ' || i, '{AS_OF}' FROM range(1, 6) t(i)")
 def src12(spark, sf):
-    return tables.made_up_users(spark, 10, AS_OF, verified=False, name="Test User").select("id", "name", F.isnull("email_verified_at").alias("unverified"))
+    unverified = tables.made_up_users(spark, 10, AS_OF, verified=False, name="Test User")
+    return unverified.unionAll(tables.made_up_users(spark, 5, AS_OF)).select("id", "name", F.date_format("email_verified_at", "yyyy-MM-dd").alias("verificado"))
 
 
 # Reports
@@ -158,6 +159,11 @@ def audit_page(spark, sf):
     return reports.audit_page(analog.audit_log(spark, sf), analog.actors(spark, sf), number=2)
 
 
+@query("lim3_audit_page_after_key", f"""SELECT event_id AS "AUDCODIGO", {_ACTION} AS "AUDACAO" FROM events WHERE event_id < 500 ORDER BY event_id DESC LIMIT 20""")
+def page_after_key(spark, sf):
+    return reports.page_after(analog.audit_log(spark, sf), "AUDCODIGO", 500, reports.AUDIT_PAGE).select("AUDCODIGO", "AUDACAO")
+
+
 @query("agg2_audit_page_count", "SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS paginas FROM events")
 def audit_pages(spark, sf):
     return reports.page_count(analog.audit_log(spark, sf), reports.AUDIT_PAGE)
@@ -188,9 +194,9 @@ def change_actor(spark, sf):
     return log.join(users, log["AUDUSUARIO"] == users["id"], "left").select("AUDCODIGO", F.coalesce("name", F.lit("Sistema")).alias("usuario"))
 
 
-@query("jn4_users_of_levels", """SELECT r_regionkey::BIGINT AS "NVLCODIGO", r_name AS "NVLNOME", coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS usuarios FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""")
+@query("jn4_users_of_levels", """SELECT r_regionkey::BIGINT AS "NVLCODIGO", r_name AS "NVLNOME", n_nationkey::BIGINT AS "USRCODIGO", n_name AS "USRNOME" FROM region LEFT JOIN nation ON r_regionkey = n_regionkey AND n_nationkey > 4""")
 def users_of_levels(spark, sf):
-    return reports.users_of_levels(analog.staff(spark, sf), analog.levels(spark, sf)).withColumn("usuarios", F.array_join("usuarios.USRNOME", ","))
+    return reports.users_of_levels(analog.staff(spark, sf).filter("USRCODIGO > 4"), analog.levels(spark, sf))
 
 
 @query("jn5_level_of_users", """SELECT n_nationkey::BIGINT AS "USRCODIGO", n_name AS "USRNOME", n_regionkey::BIGINT AS "USRNIVEL", r_name AS "NVLNOME" FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
@@ -281,9 +287,9 @@ def unused_names(spark, sf):
     return rows.unused(read(spark, sf, "customer").select("c_custkey", "c_name"), held, "c_name")
 
 
-@query("flt9_unique_ignoring_self", "SELECT p_partkey, p_name FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE a.p_name = b.p_name AND a.p_partkey <> b.p_partkey)")
+@query("flt9_unique_ignoring_self", "WITH p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_size AS nome FROM part) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE a.nome = b.nome AND a.p_partkey <> b.p_partkey)")
 def unique_ignoring_self(spark, sf):
-    return rows.unique_but_for_self(read(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
+    return rows.unique_but_for_self(read(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("nome")), "nome", "p_partkey")
 
 
 _FORMS = """(SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS n, CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) || '@x.org' WHEN 1 THEN '  ' ELSE c_mktsegment END AS e,
@@ -305,10 +311,14 @@ def row_validation(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", F.array_join(errors, ",").alias("erros"))
 
 
-@query("flt12_live_tokens", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 60 MINUTE AND ts <= TIMESTAMP '2024-01-02 00:00:00'")
-def live_tokens(spark, sf):
-    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
-    return read(spark, sf, "events").filter((F.col("ts") > now - F.expr("INTERVAL 60 MINUTES")) & (F.col("ts") <= now)).select("event_id")
+_TERMS = {"reenvio": attempts.RESEND_SECONDS, "token": attempts.TOKEN_MINUTES * 60, "sessao": attempts.SESSION_MINUTES * 60, "senha": attempts.CONFIRMED_SECONDS}
+
+
+@query("flt12_live_terms", f"""SELECT event_id, {", ".join(f"event_id % 200 * 60 <= {s} AS {t}" for t, s in _TERMS.items())} FROM events""")
+def live_terms(spark, sf):
+    minutes = (F.col("event_id") % 200).cast("int")  # the age of each, so that every term ends on some event
+    now = F.col("ts") + F.make_dt_interval(mins=minutes)
+    return read(spark, sf, "events").select("event_id", *(attempts.live(F.col("ts"), now, s).alias(t) for t, s in _TERMS.items()))
 
 
 @query("flt13_verified", """SELECT "EMPCODIGO", "EMPDTDEVOL" IS NOT NULL AS devolvido FROM """ + _LOANS)
@@ -412,6 +422,17 @@ def key_difference(spark, sf):
     return analog.audit_log(spark, sf).select(F.col("AUDCODIGO").alias("event_id"), F.array_join(F.array_except(F.map_keys(after), F.map_keys(before)), ",").alias("novas"))
 
 
+@query(
+    "set4_inverted_list",
+    """SELECT p_partkey, array_to_string(list_sort(list_transform(list_distinct(l), lambda x: x || '=' || (len(l) - list_position(list_reverse(l), x)))), ',') AS lugares
+FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || split_part(p_name, ' ', 1), ' ') AS l FROM part)""",
+)
+def inverted_list(spark, sf):
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1))), " ")
+    places = F.transform(F.map_entries(text.inverted(words)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(places), ",").alias("lugares"))
+
+
 @query("fn14_fallbacks", f"SELECT event_id, coalesce(CASE WHEN {_ACTION} <> 'criou' THEN json_extract_string(props, '$.k') END, '—') AS antes FROM events")
 def fallbacks(spark, sf):
     return analog.audit_log(spark, sf).select(F.col("AUDCODIGO").alias("event_id"), F.coalesce(changes.decoded(F.col("AUDANTES"))["k"], F.lit(changes.NONE)).alias("antes"))
@@ -419,9 +440,8 @@ def fallbacks(spark, sf):
 
 @query("fn15_conditional", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'criou' WHEN 'error' THEN 'excluiu' ELSE 'editou' END AS acao, CASE WHEN value > 10 THEN 'alto' ELSE 'baixo' END AS nivel FROM events")
 def conditional(spark, sf):
-    log, events = analog.audit_log(spark, sf), read(spark, sf, "events")
     level = F.when(F.col("value") > 10, "alto").otherwise("baixo")
-    return log.select(F.col("AUDCODIGO").alias("event_id"), F.col("AUDACAO").alias("acao")).join(events.select("event_id", level.alias("nivel")), "event_id")
+    return read(spark, sf, "events").select("event_id", analog.action(F.col("event_type")).alias("acao"), level.alias("nivel"))
 
 
 @query("fn17_json_round_trip", "SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS json FROM events")
@@ -440,16 +460,45 @@ def gate(spark, sf):
 
 @query(
     "st1_change_capture",
-    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'excluiu' ELSE 'editou' END AS acao, c_mktsegment AS antes, CASE WHEN c_acctbal >= 0 THEN lower(c_mktsegment) END AS depois
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'excluiu' ELSE 'editou' END AS acao, c_mktsegment AS antes, CASE WHEN c_acctbal >= 0 THEN lower(c_mktsegment) END AS depois,
+ CASE WHEN c_acctbal < 0 THEN 'c_custkey,c_mktsegment' ELSE 'c_mktsegment' END AS colunas
 FROM customer WHERE c_acctbal < 0 OR c_mktsegment <> lower(c_mktsegment)
-UNION ALL SELECT -1 - s_suppkey, 'criou', NULL, s_name FROM supplier""",
+UNION ALL SELECT -1 - s_suppkey, 'criou', NULL, s_name, 'c_custkey,c_mktsegment' FROM supplier""",
 )
 def change_capture(spark, sf):
-    old = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    new = read(spark, sf, "customer").filter("c_acctbal >= 0").select("c_custkey", F.lower("c_mktsegment").alias("c_mktsegment"))
-    new = new.unionAll(read(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), "s_name"))
-    found = rows.snapshot_diff(old, new, "c_custkey")
-    return found.select("c_custkey", "acao", F.col("antes")["c_mktsegment"].alias("antes"), F.col("depois")["c_mktsegment"].alias("depois"))
+    secret = F.sha1("c_name").alias("senha")
+    old = read(spark, sf, "customer").select("c_custkey", "c_mktsegment", secret)
+    new = read(spark, sf, "customer").filter("c_acctbal >= 0").select("c_custkey", F.lower("c_mktsegment").alias("c_mktsegment"), secret)
+    new = new.unionAll(read(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), "s_name", F.lit("x")))
+    found = rows.snapshot_diff(old, new, "c_custkey", hidden=("senha",))
+    columns = F.array_join(F.map_keys(F.coalesce("depois", "antes")), ",")
+    return found.select("c_custkey", "acao", F.col("antes")["c_mktsegment"].alias("antes"), F.col("depois")["c_mktsegment"].alias("depois"), columns.alias("colunas"))
+
+
+#: Attempts among events: a purchase succeeds, a signup is none. Time runs 7200 times faster, so that the rules' own terms meet enough of them.
+_AT, _AT_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 7200", "epoch_us(ts) // 7200"
+_LIMIT = f"""WITH RECURSIVE a AS (SELECT event_id, user_id, us, ok, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM (SELECT event_id, user_id, {_AT_SQL} AS us, {{ok}} AS ok FROM events WHERE {{where}})),
+r AS (SELECT 0::BIGINT AS i, user_id, 0::BIGINT AS opened, 0 AS n, NULL::BIGINT AS event_id, false AS rejected FROM (SELECT DISTINCT user_id FROM a)
+ UNION ALL SELECT i, user_id, CASE WHEN m = 0 AND NOT ok THEN us ELSE opened END, CASE WHEN m >= {{most}} THEN m WHEN ok THEN 0 ELSE m + 1 END, event_id, m >= {{most}} FROM (
+  SELECT a.*, r.opened, CASE WHEN a.us >= r.opened + 60000000 THEN 0 ELSE r.n END AS m FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1))
+SELECT event_id, rejected FROM r WHERE event_id IS NOT NULL"""
+
+
+@query("st2_login_limiter", _LIMIT.format(ok="event_type = 'purchase'", where="event_type <> 'signup'", most=5))
+def exact_login_limiter(spark, sf):
+    tried = read(spark, sf, "events").filter("event_type <> 'signup'")
+    return attempts.limited_rows(tried, "user_id", F.expr(_AT), F.col("event_type") == "purchase", "event_id")
+
+
+@query("st3_throttle", _LIMIT.format(ok="false", where="true", most=6))
+def exact_throttle(spark, sf):
+    return attempts.limited_rows(read(spark, sf, "events"), "user_id", F.expr(_AT), F.lit(False), "event_id", attempts.THROTTLE_ATTEMPTS)
+
+
+@query("st5_daily_reminders", f"""SELECT "EMPCODIGO", ("EMPDTEMPR" + INTERVAL 5 DAY)::DATE::VARCHAR AS dia FROM {_LOANS} WHERE "EMPDTDEVOL" IS NULL AND "EMPDTEMPR" + INTERVAL 5 DAY BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + INTERVAL 6 DAY""")
+def daily_reminders(spark, sf):
+    days = spark.range(7).select(F.date_add(F.lit(AS_OF).cast("date"), F.col("id").cast("int")).alias("dia"))
+    return reports.due_on(analog.loans(spark, sf), days).select("EMPCODIGO", F.col("dia").cast("string").alias("dia"))
 
 
 _WINDOWS = "SELECT user_id AS chave, time_bucket(INTERVAL '{w}', ts) AS inicio, count(*) AS tentativas FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= {n}"

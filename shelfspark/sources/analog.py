@@ -7,7 +7,7 @@ compared as multisets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The day that stands for today.
@@ -45,18 +45,21 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def action(kind: Column) -> Column:
+    return F.when(kind == "signup", "criou").when(kind == "error", "excluiu").otherwise("editou")
+
+
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes: signup creates, error deletes, anything else edits."""
-    action = F.when(F.col("event_type") == "signup", "criou").when(F.col("event_type") == "error", "excluiu").otherwise("editou")
     after = F.to_json(F.struct(F.col("user_id").cast("string").alias("u"), F.col("event_type").alias("k")))
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("AUDCODIGO"),
         F.col("user_id").alias("AUDUSUARIO"),
-        action.alias("AUDACAO"),
+        action(F.col("event_type")).alias("AUDACAO"),
         F.lit("events").alias("AUDTABELA"),
         F.col("event_id").alias("AUDREGISTRO"),
-        F.when(action != "criou", F.col("props")).alias("AUDANTES"),
-        F.when(action != "excluiu", after).alias("AUDDEPOIS"),
+        F.when(action(F.col("event_type")) != "criou", F.col("props")).alias("AUDANTES"),
+        F.when(action(F.col("event_type")) != "excluiu", after).alias("AUDDEPOIS"),
         F.col("ts").cast("timestamp").alias("AUDDATA"),
     )
 

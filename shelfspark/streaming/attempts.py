@@ -1,19 +1,22 @@
-"""Streams: attempt limits, sessions, reminders sent once, and change capture.
+"""Attempt limits, sessions, reminders sent once, the daily job, and change capture.
 
 Timestamps without a time zone can't carry a watermark; ``timed`` casts them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans import reports
+
 LOGIN_ATTEMPTS, THROTTLE_ATTEMPTS, DECAY_SECONDS = 5, 6, 60
-SESSION_MINUTES = 120
+SESSION_MINUTES, TOKEN_MINUTES, RESEND_SECONDS, CONFIRMED_SECONDS = 120, 60, 60, 10800
 
 
 def timed(df: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -39,6 +42,46 @@ def sent_once(df: DataFrame, key: str, late: str = "1 day", ts: str = "ts") -> D
     return timed(df, ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def _attempt(opened: float, n: int, now: float, ok: bool, most: int, decay: float) -> tuple[float, int, bool]:
+    """State after an attempt, and whether it is rejected; ``n`` attempts count since ``opened``."""
+    if n and now >= opened + decay:
+        n = 0
+    if n >= most:
+        return opened, n, True
+    if ok:
+        return opened, 0, False
+    return (opened if n else now), n + 1, False
+
+
+def limited_rows(df: DataFrame, key: str, at: Column, success: Column, pk: str, most: int = LOGIN_ATTEMPTS, decay_seconds: int = DECAY_SECONDS) -> DataFrame:
+    """``limited`` for a table: (pk, rejected), attempts in order of ``at`` (microseconds) and ``pk``.
+
+    A window that opens in one span of ``decay_seconds`` has ended two spans later,
+    so a key's attempts on both sides of an empty span don't depend on each other
+    and are dealt apart. Each such run is folded as a sorted stream, batch by batch;
+    only a key that is tried without a break is one task's work, as the rule is
+    sequential. A null key counts as a key."""
+    decay = decay_seconds * 1_000_000
+    rows = df.select(F.to_json(F.struct(F.col(key))).alias("__k"), at.alias("__at"), success.alias("__ok"), pk).withColumn("__b", F.expr(f"__at div {decay}"))
+    spans = Window.partitionBy("__k").orderBy("__b")
+    runs = rows.select("__k", "__b").distinct().withColumn("__gap", F.col("__b") - F.lag("__b").over(spans) > 1)
+    runs = runs.select("__k", "__b", F.count_if("__gap").over(spans).alias("__run"))
+    dealt = rows.join(runs, ["__k", "__b"]).repartition("__k", "__run").sortWithinPartitions("__k", "__run", "__at", pk)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, opened, n = None, 0, 0
+        for b in batches:
+            out = []
+            for k, run, now, ok in zip(b["__k"], b["__run"], b["__at"], b["__ok"], strict=True):
+                if (k, run) != last:
+                    last, opened, n = (k, run), 0, 0
+                opened, n, rejected = _attempt(opened, n, now, ok, most, decay)
+                out.append(rejected)
+            yield pd.DataFrame({pk: b[pk], "rejected": out})
+
+    return dealt.select("__k", "__run", "__at", "__ok", pk).mapInPandas(fold, f"{pk} {df.schema[pk].dataType.simpleString()}, rejected boolean")
+
+
 def limited(df: DataFrame, key: str, ts: str = "ts", success: str = "success", most: int = LOGIN_ATTEMPTS, decay_seconds: int = DECAY_SECONDS) -> DataFrame:
     """Every attempt with whether it is rejected: (key, ts, rejected).
 
@@ -55,15 +98,7 @@ def limited(df: DataFrame, key: str, ts: str = "ts", success: str = "success", m
         rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
         out = []
         for at, ok in zip(rows[ts], rows[success], strict=True):
-            now = at.timestamp()
-            if n and now >= opened + decay_seconds:
-                n = 0
-            rejected = n >= most
-            if not rejected:
-                if ok:
-                    n = 0
-                else:
-                    opened, n = (opened if n else now), n + 1
+            opened, n, rejected = _attempt(opened, n, at.timestamp(), ok, most, decay_seconds)
             out.append((k[0], at, rejected))
         state.update((opened, n))
         state.setTimeoutTimestamp(max(int((opened + decay_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
@@ -73,6 +108,29 @@ def limited(df: DataFrame, key: str, ts: str = "ts", success: str = "success", m
     return df.select(key, ts, success).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, rejected boolean", "opened double, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def live(at: Column, now: Column, seconds: int) -> Column:
+    """Whether what was made ``at`` still holds at ``now``: up to and with its last second."""
+    return (at <= now) & (at + F.make_dt_interval(secs=F.lit(seconds)) >= now)
+
+
+def remind(days: DataFrame, loans: Callable[[], DataFrame], sent: str, checkpoint: str) -> StreamingQuery:
+    """One run of the daily job over a stream of days (``dia``): the reminders of each
+    day that no earlier run has seen are written to the log ``sent`` (EMPCODIGO, dia).
+
+    The checkpoint tells which days are done. A batch that is run again writes its own
+    part of the log anew, so a reminder stands there once; loans are read in each batch."""
+    spark = days.sparkSession
+    schema = "EMPCODIGO long, dia date"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{sent}/lote=-1")
+
+    def run(batch: DataFrame, number: int) -> None:
+        log = spark.read.schema(f"{schema}, lote long").parquet(sent).filter(F.col("lote") != number)
+        due = reports.due_on(loans(), batch).select("EMPCODIGO", "dia")
+        due.join(log.select("EMPCODIGO").distinct(), "EMPCODIGO", "left_anti").write.mode("overwrite").parquet(f"{sent}/lote={number}")
+
+    return days.select("dia").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def captured(df: DataFrame, pk: str, version: str) -> DataFrame:
     """Change capture over a stream of record versions (pk, version, dados, apagado):
     (pk, version, acao, antes, depois), where ``dados`` is the record as JSON.

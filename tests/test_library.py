@@ -76,6 +76,31 @@ def test_audit_page_joins_after_the_cut(spark):
     assert reports.page_count(log.limit(0), 20).first() == (0, 0)
 
 
+def test_pages_by_key(spark):
+    log = spark.range(45).selectExpr("id AS AUDCODIGO")
+    assert [r[0] for r in reports.page_after(log, "AUDCODIGO", 25, 20).collect()] == list(range(24, 4, -1))
+    assert [r[0] for r in reports.page_after(log, "AUDCODIGO", 5, 20).collect()] == [4, 3, 2, 1, 0]
+
+
+def test_each_image_is_parsed_once(spark):
+    log = spark.createDataFrame([(1, "editou", '{"n":"A"}', '{"n":"B"}')], "AUDCODIGO long, AUDACAO string, AUDANTES string, AUDDEPOIS string")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        reports.audit_lines(log).explain()
+    assert out.getvalue().count("from_json") == 2
+
+
+def test_users_of_levels(spark):
+    levels = spark.createDataFrame([(1, "a"), (2, "b")], "NVLCODIGO long, NVLNOME string")
+    users = spark.createDataFrame([(5, "Eva", 1), (6, "Ivo", 1)], "USRCODIGO long, USRNOME string, USRNIVEL long")
+    assert sorted(map(tuple, reports.users_of_levels(users, levels).collect()), key=str) == [(1, "a", 5, "Eva"), (1, "a", 6, "Ivo"), (2, "b", None, None)]
+
+
+def test_inverted_list(spark):
+    a = spark.createDataFrame([(["x", "y", "x"],), ([],), (None,)], "a array<string>")
+    assert [r[0] for r in a.select(text.inverted(F.col("a"))).collect()] == [{"x": 2, "y": 1}, {}, None]
+
+
 def test_snapshot_diff(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string")
     new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "id long, v string")

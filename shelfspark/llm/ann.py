@@ -19,6 +19,7 @@ not. A query's own id is no candidate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,9 @@ EPSILON = 2.5
 SLICES = 6
 LEVELS = (1 << SLICES) - 1
 
+#: Numbers in one matrix of queries by rows, or of rows by components, at a time.
+CELLS = 1 << 20
+
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -112,8 +116,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def find(codes: Codes, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> Best:
     """The best of a shard whose vectors are at hand."""
     best = Best.of(len(q), k)
-    for a in range(0, len(q), 256):
-        rows = np.arange(a, min(a + 256, len(q)))
+    for rows in _parts(len(q), len(ids)):
         part = q[rows]
         estimate, slack = codes.guess(part)
         estimate[q_ids[rows][:, None] == ids[None, :]] = -np.inf
@@ -128,34 +131,35 @@ def find(codes: Codes, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray,
     return best
 
 
-def choose(ids: np.ndarray, index, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(queries' numbers, rows' numbers) of what may reach a query's bar: its lower
+def choose(ids: np.ndarray, index, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
+    """For each query, the packed bits of the rows that may reach its bar: its lower
     bound, or the kth best that an estimate less its bound promises in this shard."""
-    codes, who, which = Codes.load(len(ids), q.shape[1], index), [], []
-    for a in range(0, len(q), 256):
-        rows = np.arange(a, min(a + 256, len(q)))
+    codes, chosen = Codes.load(len(ids), q.shape[1], index), np.zeros((len(q), -(-len(ids) // 8)), np.uint8)
+    for rows in _parts(len(q), len(ids)):
         estimate, slack = codes.guess(q[rows])
         estimate[q_ids[rows][:, None] == ids[None, :]] = -np.inf
         bar = least[rows]
         if len(ids) > k:
             bar = np.maximum(bar, -np.partition(slack - estimate, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero((estimate + slack >= bar[:, None]) & np.isfinite(estimate))
-        who.append(rows[i])
-        which.append(j)
-    return np.concatenate(who), np.concatenate(which)
+        chosen[rows] = np.packbits((estimate + slack >= bar[:, None]) & np.isfinite(estimate), axis=1)
+    return chosen
 
 
-def score(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int, chosen: tuple[np.ndarray, np.ndarray]) -> Best:
-    best, (who, which) = Best.of(len(q), k), chosen
-    for a in range(0, len(q), 256):
-        rows = np.arange(a, min(a + 256, len(q)))
-        mine = (who >= a) & (who < a + 256)
-        wanted = np.zeros((len(rows), len(ids)), bool)
-        wanted[who[mine] - a, which[mine]] = True
+def score(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int, chosen: np.ndarray) -> Best:
+    best = Best.of(len(q), k)
+    for rows in _parts(len(q), len(ids)):
+        wanted = np.unpackbits(chosen[rows], axis=1, count=len(ids)).view(bool)
         _rerank(ids, vectors, best, rows, q[rows], wanted, least)
     return best
 
 
+def _parts(queries: int, rows: int) -> Iterator[np.ndarray]:
+    """Numbers of queries, so many at a time that their matrix with all rows has about ``CELLS`` numbers."""
+    step = max(1, CELLS // max(1, rows))
+    for a in range(0, queries, step):
+        yield np.arange(a, min(a + step, queries))
+
+
 def _rerank(all_ids: np.ndarray, vectors: np.ndarray, best: Best, rows: np.ndarray, q: np.ndarray, wanted: np.ndarray, least: np.ndarray) -> None:
     """Score the chosen vectors; those that may reach the bar are summed in order."""
     bar = np.maximum(best.kth(), least)[rows]
@@ -168,8 +172,9 @@ def _rerank(all_ids: np.ndarray, vectors: np.ndarray, best: Best, rows: np.ndarr
         which.append(j)
     if who:
         i, j = np.concatenate(who), np.concatenate(which)
-        for a in range(0, len(i), 50_000):
-            part = slice(a, a + 50_000)
+        step = max(1, CELLS // q.shape[1])
+        for a in range(0, len(i), step):
+            part = slice(a, a + step)
             _offer(best, rows, i[part], all_ids[j[part]], exact(q[i[part]], vectors[j[part]]), least)
 
 

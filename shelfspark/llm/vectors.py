@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .tokenize import release
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
@@ -163,7 +164,8 @@ class Searcher:
 
     ``build(ids, vectors)`` gives (ids, vectors, index), the index as bytes.
     ``find(ids, vectors, index, query ids, queries, lower bounds, k)`` gives a Best.
-    ``choose``, if given, gives (queries' numbers, rows' numbers) without vectors, and
+    ``choose``, if given, gives a bit for each query and row (packed by query, so that what
+    is sent is bounded by the sizes of both blocks) without vectors, and
     ``score(ids, vectors, query ids, queries, lower bounds, k, chosen)`` a Best of those."""
 
     build: Callable
@@ -175,7 +177,7 @@ class Searcher:
 SHARD = "dim int, shard long, centre binary, radius double, ids binary, vectors binary, index binary"
 PAIR = "dim int, shard long, home long, q_ids binary, q_vectors binary, least binary"
 HOME = "dim int, home long, q_ids binary, q_vectors binary, least binary, f_query binary, f_vec binary, f_score binary"
-CHOSEN = "dim int, shard long, q_ids binary, q_vectors binary, least binary, queries binary, places binary"
+CHOSEN = "dim int, shard long, q_ids binary, q_vectors binary, least binary, chosen binary"
 
 
 def _batch(schema: str, *values: object) -> pa.RecordBatch:
@@ -255,6 +257,7 @@ def search(rows: DataFrame, is_query: Column, k: int, searcher: Searcher, shard_
             q_ids, q, least = _queries(row)
             best = searcher.find(*unpack(row["dim"], row["ids"], row["vectors"]), row["index"], q_ids, q, least, k)
             yield _batch(HOME, row["dim"], row["shard"], q_ids, q, best.kth(), *(np.ascontiguousarray(c) for c in _good(best, q_ids, least)))
+        release()
 
     home = route(queries, balls, first=True).drop("home").join(shards, ["dim", "shard"])
     home = materialize(home.mapInArrow(at_home, HOME), "home")
@@ -268,16 +271,18 @@ def search(rows: DataFrame, is_query: Column, k: int, searcher: Searcher, shard_
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             q_ids, q, least = _queries(row)
-            who, place = searcher.choose(np.frombuffer(row["ids"], "<i8"), row["index"], q_ids, q, least, k)
-            some, who = np.unique(who, return_inverse=True)
+            chosen = searcher.choose(np.frombuffer(row["ids"], "<i8"), row["index"], q_ids, q, least, k)
+            some = np.flatnonzero(chosen.any(axis=1))
             if len(some):
-                yield _batch(CHOSEN, row["dim"], row["shard"], q_ids[some], q[some], least[some], who.astype("<i8"), place.astype("<i8"))
+                yield _batch(CHOSEN, row["dim"], row["shard"], q_ids[some], q[some], least[some], chosen[some])
+        release()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             q_ids, q, least = _queries(row)
-            chosen = np.frombuffer(row["queries"], "<i8"), np.frombuffer(row["places"], "<i8")
+            chosen = np.frombuffer(row["chosen"], np.uint8).reshape(len(q_ids), -1)
             yield _found(*_good(searcher.score(*unpack(row["dim"], row["ids"], row["vectors"]), q_ids, q, least, k, chosen), q_ids, least))
+        release()
 
     if searcher.choose:
         chosen = materialize(pairs.join(shards.select("dim", "shard", "ids", "index"), ["dim", "shard"]).mapInArrow(choose, CHOSEN), "chosen")

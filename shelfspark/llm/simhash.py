@@ -103,13 +103,15 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     x = F.col("fp")
     tables = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _first(x).alias("key")), F.struct(F.lit(1).alias("seg"), _second(x).alias("key")))).alias("t")).select("fp", "t.*")
     sizes = tables.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"))
-    shared = sizes.filter(F.col("n") <= hot_bucket)
     hot = sizes.filter(F.col("n") > hot_bucket).select("seg", "key")
 
     probes = fps.select("fp", F.explode(F.concat(F.transform(_ball(_first(x)), lambda k: F.struct(F.lit(0).alias("seg"), k.alias("key"))), F.array(F.struct(F.lit(1).alias("seg"), _second(x).alias("key"))))).alias("t")).select("fp", "t.*")
 
-    # ordinary buckets: fetch the table's matches, verify the whole distance
-    fetched = probes.withColumnRenamed("fp", "a").join(tables.join(shared.select("seg", "key"), ["seg", "key"]), ["seg", "key"])
+    # ordinary buckets: fetch the table's matches, verify the whole distance. The planner takes the
+    # rows of an explode for one, and would gather 34 rows a fingerprint in the driver to broadcast
+    # them; the hint has both sides shuffled, whatever their estimate
+    ordinary = tables.join(hot, ["seg", "key"], "left_anti")
+    fetched = probes.withColumnRenamed("fp", "a").join(ordinary.hint("merge"), ["seg", "key"])
     pairs = fetched.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2) & (F.col("a") != F.col("fp"))).select(F.greatest("a", "fp").alias("a"), F.least("a", "fp").alias("b"))
 
     # hot buckets: members stand at every word within one bit of the rest of their

@@ -189,6 +189,35 @@ def test_links_of_dense_and_sparse_fingerprints(spark, links, distance):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def broadcast_rows(plan):
+    """Rows of each table that a plan has broadcast; stages and adaptive plans are opened."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = plan.children()
+    own = [plan.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchangeExec" else []
+    return own + [n for p in inner + [below.apply(i) for i in range(below.size())] for n in broadcast_rows(p)]
+
+
+def test_looked_up_words_are_not_broadcast(spark, tmp_path):
+    rng = random.Random(12)
+    values = {rng.getrandbits(63) for _ in range(3000)}
+    values |= {x ^ 1 << rng.randrange(63) for x in sorted(values)[:200]}
+    spark.createDataFrame([(x,) for x in sorted(values)], "fp long").coalesce(1).write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")  # a file, whose size the planner knows
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    found = {}
+    try:
+        for limit in ("300k", "-1"):
+            spark.conf.set(threshold, limit)
+            links = simhash.near_links(fps)
+            found[limit] = sorted(tuple(r) for r in links.collect())
+            assert max([0, *broadcast_rows(links._jdf.queryExecution().executedPlan())]) <= len(values)
+    finally:
+        spark.conf.set(threshold, before)
+    assert found["300k"] == found["-1"] and len(found["-1"]) >= 200
+
+
 def test_large_buckets_give_a_forest():
     rng = random.Random(21)
     centre, values = rng.getrandbits(63), set()

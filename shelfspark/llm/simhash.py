@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import MAX_BROADCAST_ROWS, discard, materialize
 from .components import connected_components
 from .substrings import Words, finish, rolled
 from .tokenize import in_chunks, release
@@ -103,13 +103,15 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     x = F.col("fp")
     tables = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _first(x).alias("key")), F.struct(F.lit(1).alias("seg"), _second(x).alias("key")))).alias("t")).select("fp", "t.*")
     sizes = tables.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_bucket).select("seg", "key")
+    # written and counted: beside an estimate of it the planner could take the probes for the smaller side
+    hot = materialize(sizes.filter(F.col("n") > hot_bucket).select("seg", "key"), "hot-buckets")
+    hot = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_ROWS else hot.hint("merge")
 
     probes = fps.select("fp", F.explode(F.concat(F.transform(_ball(_first(x)), lambda k: F.struct(F.lit(0).alias("seg"), k.alias("key"))), F.array(F.struct(F.lit(1).alias("seg"), _second(x).alias("key"))))).alias("t")).select("fp", "t.*")
 
     # ordinary buckets: fetch the table's matches, verify the whole distance. The planner takes the
     # rows of an explode for one, and would gather 34 rows a fingerprint in the driver to broadcast
-    # them; the hint has both sides shuffled, whatever their estimate
+    # them; the hint, here and below, has both sides shuffled, whatever their estimate
     ordinary = tables.join(hot, ["seg", "key"], "left_anti")
     fetched = probes.withColumnRenamed("fp", "a").join(ordinary.hint("merge"), ["seg", "key"])
     pairs = fetched.filter((F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2) & (F.col("a") != F.col("fp"))).select(F.greatest("a", "fp").alias("a"), F.least("a", "fp").alias("b"))
@@ -122,7 +124,7 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     rest = F.when(first, _second(x)).otherwise(_first(x))
     spots = at.select("fp", "seg", "key", F.explode(F.when(own, _ball(rest)).otherwise(F.array(rest))).alias("spot"))
     least = spots.groupBy("seg", "key", "spot").agg(F.min("fp").alias("b"), F.max("fp").alias("most"))
-    starred = spots.join(least.filter("b != most").drop("most"), ["seg", "key", "spot"]).filter("fp != b").select(F.col("fp").alias("a"), "b")
+    starred = spots.join(least.filter("b != most").drop("most").hint("merge"), ["seg", "key", "spot"]).filter("fp != b").select(F.col("fp").alias("a"), "b")
     starred = starred.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
     return pairs.unionAll(starred).distinct()
 

@@ -198,10 +198,14 @@ def broadcast_rows(plan):
     return own + [n for p in inner + [below.apply(i) for i in range(below.size())] for n in broadcast_rows(p)]
 
 
-def test_looked_up_words_are_not_broadcast(spark, tmp_path):
+@pytest.mark.parametrize("dense", [False, True])
+def test_looked_up_words_are_not_broadcast(spark, tmp_path, dense):
     rng = random.Random(12)
-    values = {rng.getrandbits(63) for _ in range(3000)}
-    values |= {x ^ 1 << rng.randrange(63) for x in sorted(values)[:200]}
+    if dense:  # one hot bucket: the low 32 bits are equal, the others have at most three ones
+        values = {sum({1 << rng.randrange(32, 63) for _ in range(3)}) for _ in range(5000)}
+    else:
+        values = {rng.getrandbits(63) for _ in range(3000)}
+        values |= {x ^ 1 << rng.randrange(63) for x in sorted(values)[:200]}
     spark.createDataFrame([(x,) for x in sorted(values)], "fp long").coalesce(1).write.parquet(f"{tmp_path}/fps")
     fps = spark.read.parquet(f"{tmp_path}/fps")  # a file, whose size the planner knows
     threshold = "spark.sql.autoBroadcastJoinThreshold"
